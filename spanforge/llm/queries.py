@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import normalize as nz
 from spanforge.llm.components import connected_components
+from spanforge.llm.consensus import consensus_survivors
 from spanforge.llm.overlap import cross_split
+from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
 from spanforge.sources.tables import table
 
 EVAL = "('val', 'test', 'external_eval')"
@@ -54,5 +56,100 @@ P2_SQL = f"{_P2_KINDS} SELECT DISTINCT manifest_index, match_kind FROM kinds WHE
 P2_REPORT_SQL = f"""{_P2_KINDS} SELECT split, dataset, count(*) AS n_records, count(*) FILTER (match_kind = 'exact') AS n_exact, count(*) FILTER (match_kind = 'near') AS n_near
 FROM kinds GROUP BY split, dataset"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL}
+SPLIT_SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
+
+
+def _audit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "audit_records")
+    source, digest = nz.plain_campaign(F.col("source")), nz.plain_digest(F.col("sha256"))
+    # kind 0 sorts first: the least node of a group is its least source, if it has any
+    return rows.select("rid", nz.plain_split(F.col("old_split")).alias("old_split"), node(0, source).alias("by_source"), node(1, F.unhex(digest)).alias("by_digest"), "n_boxes", source.alias("plain_source"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of groups that the old splits tear apart."""
+    rows = _audit_nodes(spark, sf_dir).select("rid", "old_split", "by_source", "by_digest").distinct()
+    torn = spanning_groups(spark, rows, ["by_source", "by_digest"], "old_split")
+    torn = torn.where(F.hex(F.substring("group", 1, 1)) == "00")
+    return torn.select("rid", F.decode(F.expr("substring(group, 2)"), "UTF-8").alias("group_source")).distinct()
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the audit in train, val or test, groups kept whole."""
+    rows = with_groups(spark, _audit_nodes(spark, sf_dir), ["by_source", "by_digest"])
+    names = [r["dataset"] for r in table(spark, sf_dir, "source_registry").select(nz.plain_name(F.col("dataset")).alias("dataset")).distinct().orderBy("dataset").collect()]
+    dataset = F.split_part(F.col("plain_source"), F.lit("/"), F.lit(1))
+    labels = {f"dataset:{n}": dataset == n for n in names}
+    boxes = F.col("n_boxes")
+    labels |= {"boxes:none": boxes == 0, "boxes:one": boxes == 1, "boxes:few": boxes.between(2, 4), "boxes:many": boxes >= 5}
+    return grouped_split(spark, rows, "rid", "group", labels, SPLIT_SHARES)
+
+
+def p3_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the splits have got."""
+    rows = p3_split(spark, sf_dir)
+    counts = rows.groupBy("split").agg(F.countDistinct("rid").alias("n_records"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n_records").alias("n_all")))).select("split", "n_records", (F.col("n_records") / F.col("n_all")).alias("share"))
+
+
+P3_SQL = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT rid, {nz.sql_split('old_split')} AS s, {nz.sql_campaign('source')} AS src, {nz.sql_digest('sha256')} AS dig FROM audit_records),
+pair AS MATERIALIZED (SELECT DISTINCT '0' || src AS a, '1' || dig AS b FROM r WHERE src IS NOT NULL AND dig IS NOT NULL),
+edge AS MATERIALIZED (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+start AS MATERIALIZED (SELECT DISTINCT '0' || src AS n FROM r WHERE src IS NOT NULL UNION SELECT DISTINCT '1' || dig FROM r WHERE dig IS NOT NULL),
+low(n, c) USING KEY (n) AS (
+  SELECT n, n FROM start
+  UNION
+  SELECT e.b, min(l.c) FROM low l JOIN edge e ON e.a = l.n JOIN recurring.low k ON k.n = e.b WHERE l.c < k.c GROUP BY e.b),
+member AS (SELECT r.rid, r.s, l.c FROM r JOIN low l ON l.n = coalesce('0' || r.src, '1' || r.dig))
+SELECT DISTINCT rid, substr(c, 2) AS group_source FROM member
+WHERE c IN (SELECT c FROM member GROUP BY c HAVING count(DISTINCT s) >= 2) AND starts_with(c, '0')"""
+
+P6_FIELDS = ("image", "camera", "site", "captured_at")
+
+
+def _shared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of digests that several have, with the trust in each: greatest is first."""
+    images = table(spark, sf_dir, "image_sha256")
+    rows = images.select(
+        nz.plain_digest(F.col("sha256")).alias("sha256"), "manifest_index", F.nullif(F.trim("image"), F.lit("")).alias("image"), nz.known_text(F.col("camera")).alias("camera"),
+        nz.known_text(F.col("site")).alias("site"), F.col("captured_at").cast("string").alias("captured_at"), "updated_at",
+    ).where("sha256 is not null")
+    several = rows.groupBy("sha256").agg((F.min("manifest_index") < F.max("manifest_index")).alias("several")).where("several").select("sha256")
+    rows = rows.join(several, "sha256").distinct()
+    audit = table(spark, sf_dir, "audit_records").groupBy("rid").agg(F.max_by("source", F.struct("recorded_at", "source")).alias("source"))
+    dataset = nz.plain_name(F.split_part(nz.plain_campaign(F.col("source")), F.lit("/"), F.lit(1)))
+    audit = audit.select(F.col("rid").alias("manifest_index"), dataset.alias("dataset"))
+    registry = table(spark, sf_dir, "source_registry").groupBy(nz.plain_name(F.col("dataset")).alias("dataset")).agg(F.min("trust_rank").alias("trust_rank"))
+    trusted = audit.join(registry, "dataset").select("manifest_index", (-F.col("trust_rank")).alias("trust"))
+    return rows.join(trusted, "manifest_index", "left").withColumn("early", -F.col("manifest_index"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each shared digest and field, the record whose value survives."""
+    rows = _shared_records(spark, sf_dir)
+    long = rows.unpivot(["sha256", "trust", "updated_at", "early"], list(P6_FIELDS), "field_name", "value")
+    kept = consensus_survivors(spark, long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
+    return kept.select("sha256", "field_name", (-F.col("early")).alias("manifest_index"))
+
+
+def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record that is built for each shared digest."""
+    rows = _shared_records(spark, sf_dir)
+    long = rows.unpivot(["sha256", "trust", "updated_at", "early"], list(P6_FIELDS), "field_name", "value")
+    kept = consensus_survivors(spark, long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
+    return kept.groupBy("sha256").pivot("field_name", list(P6_FIELDS)).agg(F.max("value"))
+
+
+_P6_ROWS = f"""r AS MATERIALIZED (SELECT DISTINCT {nz.sql_digest('sha256')} AS sha256, manifest_index, nullif(trim(image), '') AS image, {nz.sql_known('camera')} AS camera, {nz.sql_known('site')} AS site,
+    strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, updated_at FROM image_sha256),
+shared AS (SELECT sha256 FROM r WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT manifest_index) > 1),
+trusted AS (SELECT a.rid, min(g.trust_rank) AS trust_rank FROM (SELECT rid, arg_max(source, recorded_at) AS source FROM audit_records GROUP BY rid) a
+    JOIN source_registry g ON g.dataset = {nz.sql_name("split_part(" + nz.sql_campaign('source') + ", '/', 1)")} GROUP BY a.rid),
+o AS MATERIALIZED (SELECT r.*, row_number() OVER (PARTITION BY sha256 ORDER BY trust_rank NULLS LAST, updated_at DESC NULLS LAST, manifest_index) AS k
+    FROM r JOIN shared USING (sha256) LEFT JOIN trusted t ON t.rid = r.manifest_index)"""
+_P6_LONG = "\nUNION ALL ".join(f"SELECT sha256, '{f}' AS field_name, arg_min(manifest_index, k) AS manifest_index, arg_min({f}, k) AS value FROM o WHERE {f} IS NOT NULL GROUP BY sha256" for f in P6_FIELDS)
+P6_SQL = f"WITH {_P6_ROWS} SELECT sha256, field_name, manifest_index FROM ({_P6_LONG})"
+P6_SURVIVORS_SQL = f"""WITH {_P6_ROWS} SELECT sha256, {', '.join(f"max(value) FILTER (field_name = '{f}') AS {f}" for f in P6_FIELDS)} FROM ({_P6_LONG}) GROUP BY sha256"""
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL}
