@@ -9,6 +9,7 @@ from spanforge.functions import normalize as nz
 from spanforge.llm.components import connected_components
 from spanforge.llm.consensus import consensus_survivors
 from spanforge.llm.overlap import cross_split
+from spanforge.llm.packing import pack, pack_report
 from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
 from spanforge.sources.tables import table
 
@@ -151,5 +152,35 @@ _P6_LONG = "\nUNION ALL ".join(f"SELECT sha256, '{f}' AS field_name, arg_min(man
 P6_SQL = f"WITH {_P6_ROWS} SELECT sha256, field_name, manifest_index FROM ({_P6_LONG})"
 P6_SURVIVORS_SQL = f"""WITH {_P6_ROWS} SELECT sha256, {', '.join(f"max(value) FILTER (field_name = '{f}') AS {f}" for f in P6_FIELDS)} FROM ({_P6_LONG}) GROUP BY sha256"""
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL}
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    return {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").orderBy("pack_name").collect()}
+
+
+def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every text with its pack, for each size of pack."""
+    out = None
+    for name, capacity in _capacities(spark, sf_dir).items():
+        part = pack(spark, table(spark, sf_dir, "documents"), capacity).select(F.lit(name).alias("pack_name"), "pack_id", "doc_id", "piece", "n_pieces", "char_start", "char_end", "tokens")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, capacity in _capacities(spark, sf_dir).items():
+        part = pack_report(pack(spark, table(spark, sf_dir, "documents"), capacity), capacity).withColumn("pack_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that had to be divided for the largest packs."""
+    packed = pack(spark, table(spark, sf_dir, "documents"), _capacities(spark, sf_dir)["large"])
+    return packed.where("n_pieces > 1").select("doc_id").distinct()
+
+
+# Every text is clearly below or clearly above the capacity, so its number of characters decides.
+P7_SQL = "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 3 * (SELECT capacity_tokens FROM pack_sizes WHERE pack_name = 'large')"
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p7_found": P7_SQL}
