@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import normalize as nz
 from spanforge.llm.components import connected_components
 from spanforge.llm.consensus import consensus_survivors
+from spanforge.llm.linkage import link_batches
 from spanforge.llm.overlap import cross_split
 from spanforge.llm.packing import pack, pack_report
 from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
@@ -182,5 +183,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Every text is clearly below or clearly above the capacity, so its number of characters decides.
 P7_SQL = "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 3 * (SELECT capacity_tokens FROM pack_sizes WHERE pack_name = 'large')"
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each rejected overlay with the accepted earlier ones that it repeats."""
+    _, links = link_batches(spark, table(spark, sf_dir, "direct_overlay_manifest"))
+    return links.select(F.least("id", "accepted_id").alias("overlay_id_a"), F.greatest("id", "accepted_id").alias("overlay_id_b")).distinct()
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlay with the cluster it has ended in."""
+    history, _ = link_batches(spark, table(spark, sf_dir, "direct_overlay_manifest"), clusters=True)
+    return history.clusters().select(F.col("id").alias("overlay_id"), "cluster_id", "is_representative")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report, "p5_found": p5_found, "p5_clusters": p5_clusters}
 SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p7_found": P7_SQL}
