@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanforge.functions.normalize import EVAL_SPLITS, hash_bits, path_part, plain_digest, plain_name, plain_split
+from spanforge.session import Scratch
 
 _RANK_SHIFT = 44
 
@@ -123,7 +124,7 @@ def choose(probe: DataFrame, index: DataFrame, distance: int, per_row: float = 3
     return picked
 
 
-def near_probe(probe: DataFrame, index: DataFrame, distance: int = 4) -> DataFrame:
+def near_probe(spark: SparkSession, probe: DataFrame, index: DataFrame, distance: int = 4) -> DataFrame:
     """The distinct hashes ``h`` of ``probe`` with one of ``index`` at ``distance`` bits at most.
 
     Both have a BIGINT column ``h``; nulls match nothing; repeated hashes count once. The
@@ -132,8 +133,9 @@ def near_probe(probe: DataFrame, index: DataFrame, distance: int = 4) -> DataFra
     hashes have as many shingles, the cut of the prefix already is the position filter. The
     distance of every pair that is left is then verified.
     """
-    probe = probe.where("h is not null").select("h").distinct()
-    index = index.where("h is not null").select("h").distinct()
+    scratch = Scratch(spark, "hashes")
+    probe = scratch.write(probe.where("h is not null").select("h").distinct(), "probe")
+    index = scratch.write(index.where("h is not null").select("h").distinct(), "index")
     prefixes = choose(probe, index, distance)
     p, t = prefixes.rows(probe).alias("p"), prefixes.rows(index).alias("t")
     length = F.abs(F.bit_count(F.col("p.h")) - F.bit_count(F.col("t.h"))) <= distance
@@ -141,23 +143,23 @@ def near_probe(probe: DataFrame, index: DataFrame, distance: int = 4) -> DataFra
     return p.join(t, (F.col("p.shingle") == F.col("t.shingle")) & length & verified, "left_semi").select("h").distinct()
 
 
-def cross_split(spark: SparkSession, images: DataFrame, distance: int = 4) -> DataFrame:
-    """One row (manifest_index, split, dataset, match_kind) for each evaluation record.
+def cross_split(spark: SparkSession, images: DataFrame, distance: int = 4, with_dataset: bool = True) -> DataFrame:
+    """One row (manifest_index, split, match_kind, and dataset if wanted) for each evaluation record.
 
     ``match_kind`` is 'exact' when a training record has its digest, else 'near' when a training
     record's perceptual hash is at ``distance`` bits at most, else null. A record without a known
     split takes the one in its path and is left out if that says none either. Missing digests
-    and hashes match nothing; repeated rows count once; other columns aren't read; an empty
-    table gives an empty result.
+    and hashes match nothing; a repeated row may come out repeated; other columns aren't read; an
+    empty table gives an empty result.
     """
+    scratch = Scratch(spark, "overlap")
     split = F.coalesce(plain_split(F.col("split")), plain_split(path_part(F.col("image"), 1)))
-    rows = images.select(
-        F.col("manifest_index").cast("bigint").alias("manifest_index"), split.alias("split"), plain_digest(F.col("sha256")).alias("digest"), hash_bits(F.col("phash")).alias("h"), plain_name(path_part(F.col("image"), 2)).alias("dataset")
-    )
-    held = rows.where(F.col("split").isin(*EVAL_SPLITS)).distinct()
-    train = rows.where("split = 'train'")
-    seen = train.where("digest is not null").select(F.unhex("digest").alias("d"), F.lit(True).alias("same")).distinct()
-    held = held.withColumn("d", F.unhex("digest")).join(seen, "d", "left")
-    near = near_probe(held.where("same is null").select("h"), train.select("h"), distance).withColumn("close", F.lit(True))
+    dataset = [plain_name(path_part(F.col("image"), 2)).alias("dataset")] if with_dataset else []
+    rows = images.select(F.col("manifest_index").cast("bigint").alias("manifest_index"), split.alias("split"), F.unhex(plain_digest(F.col("sha256"))).alias("d"), hash_bits(F.col("phash")).alias("h"), *dataset)
+    rows = scratch.write(rows.where("split is not null"), "plain")
+    held, train = rows.where(F.col("split").isin(*EVAL_SPLITS)), rows.where("split = 'train'")
+    seen = train.where("d is not null").select("d", F.lit(True).alias("same")).distinct()
+    held = scratch.write(held.join(seen, "d", "left").drop("d"), "exact")
+    near = near_probe(spark, held.where("same is null").select("h"), train.select("h"), distance).withColumn("close", F.lit(True))
     kind = F.when(F.col("same"), "exact").when(F.col("close"), "near")
-    return held.join(near, "h", "left").select("manifest_index", "split", "dataset", kind.alias("match_kind"))
+    return held.join(near, "h", "left").withColumn("match_kind", kind).drop("h", "same", "close")
