@@ -12,6 +12,7 @@ from spanforge.llm.linkage import link_batches
 from spanforge.llm.overlap import cross_split
 from spanforge.llm.packing import pack, pack_report
 from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
+from spanforge.session import Scratch
 from spanforge.sources.tables import table
 
 EVAL = "('val', 'test', 'external_eval')"
@@ -70,7 +71,7 @@ def _audit_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of groups that the old splits tear apart."""
-    rows = _audit_nodes(spark, sf_dir).select("rid", "old_split", "by_source", "by_digest").distinct()
+    rows = Scratch(spark, "audit").write(_audit_nodes(spark, sf_dir).select("rid", "old_split", "by_source", "by_digest").distinct(), "nodes")
     torn = spanning_groups(spark, rows, ["by_source", "by_digest"], "old_split")
     torn = torn.where(F.hex(F.substring("group", 1, 1)) == "00")
     return torn.select("rid", F.decode(F.expr("substring(group, 2)"), "UTF-8").alias("group_source")).distinct()
@@ -78,7 +79,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the audit in train, val or test, groups kept whole."""
-    rows = with_groups(spark, _audit_nodes(spark, sf_dir), ["by_source", "by_digest"])
+    rows = Scratch(spark, "audit").write(_audit_nodes(spark, sf_dir), "nodes")
+    rows = with_groups(spark, rows, ["by_source", "by_digest"])
     names = [r["dataset"] for r in table(spark, sf_dir, "source_registry").select(nz.plain_name(F.col("dataset")).alias("dataset")).distinct().orderBy("dataset").collect()]
     dataset = F.split_part(F.col("plain_source"), F.lit("/"), F.lit(1))
     labels = {f"dataset:{n}": dataset == n for n in names}
