@@ -9,9 +9,11 @@ from spanforge.functions import normalize as nz
 from spanforge.llm.components import connected_components
 from spanforge.llm.consensus import consensus_survivors
 from spanforge.llm.linkage import link_batches
+from spanforge.llm.mixing import Mixer, mix_report
 from spanforge.llm.overlap import cross_split
 from spanforge.llm.packing import pack, pack_report
 from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
+from spanforge.llm.subjects import paragraph_subjects
 from spanforge.session import Scratch
 from spanforge.sources.tables import table
 
@@ -37,7 +39,7 @@ SELECT sha256, min(other) AS group_sha256 FROM reach GROUP BY sha256"""
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation records whose picture is in the training split, too."""
-    return cross_split(spark, table(spark, sf_dir, "image_sha256")).where("match_kind is not null").select("manifest_index", "match_kind").distinct()
+    return cross_split(spark, table(spark, sf_dir, "image_sha256"), with_dataset=False).where("match_kind is not null").select("manifest_index", "match_kind").distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,5 +199,51 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.clusters().select(F.col("id").alias("overlay_id"), "cluster_id", "is_representative")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report, "p5_found": p5_found, "p5_clusters": p5_clusters}
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r["subject"] for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().orderBy("subject").collect()]
+    return paragraph_subjects(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subject_labels"), names)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects that at least one paragraph of a document is mainly about."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the corpus is made of."""
+    rows = _subjects(spark, sf_dir).groupBy("subject").agg(F.countDistinct("doc_id").alias("n_docs"), F.count("*").alias("n_paragraphs"), F.sum("size").alias("n_chars"))
+    whole = rows.agg(F.sum("n_chars").alias("all_chars"))
+    return rows.crossJoin(F.broadcast(whole)).select("subject", "n_docs", "n_paragraphs", "n_chars", (F.col("n_chars") / F.col("all_chars")).alias("share"))
+
+
+def _mixes(spark: SparkSession, sf_dir: str):
+    targets = table(spark, sf_dir, "mix_targets").select("mix_name", nz.plain_label(F.col("source")).alias("source"), "target_share", "max_repeats").distinct()
+    mixer = Mixer(spark, table(spark, sf_dir, "documents"))
+    names: dict[str, list] = {}
+    for r in targets.orderBy("mix_name", "source").collect():
+        names.setdefault(r["mix_name"], []).append(r)
+    for name, rows in names.items():
+        mixed = mixer.mix({r["source"]: r["target_share"] for r in rows}, {r["source"]: r["max_repeats"] for r in rows})
+        yield name, mixed, targets.where(F.col("mix_name") == name).drop("mix_name")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in each mix."""
+    out = None
+    for name, mixed, _ in _mixes(spark, sf_dir):
+        part = mixed.select(F.lit(name).alias("mix_name"), "doc_id", "source", "assumed", "repeats", "tokens")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixes reach."""
+    out = None
+    for name, mixed, targets in _mixes(spark, sf_dir):
+        part = mix_report(mixed, targets).withColumn("mix_name", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p9_found": p9_found, "p9_report": p9_report, "p8_mix": p8_mix, "p8_report": p8_report}
 SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p7_found": P7_SQL}
