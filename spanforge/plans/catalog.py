@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from spanforge.plans import boxes, duplicates, matching, metrics, packed_fields
+from spanforge.plans import boxes, curation, duplicates, matching, metrics, packed_fields
 
-_PARTS = (packed_fields, duplicates, boxes, matching, metrics)
+_PARTS = (packed_fields, duplicates, boxes, matching, metrics, curation)
 
 QUERIES = {name: run for part in _PARTS for name, run in part.QUERIES.items()}
 SQL = {name: text for part in _PARTS for name, text in part.SQL.items()}
