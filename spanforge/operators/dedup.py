@@ -26,7 +26,7 @@ def band(hash_: Column, widths: Sequence[int]) -> Column:
     """Array of (band number, bits of the band), low bits first."""
     parts, at = [], 0
     for i, bits in enumerate(widths):
-        parts.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_, at).bitwiseAND(F.lit((1 << bits) - 1)).alias("bits")))
+        parts.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(hash_, at).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1)).alias("bits")))
         at += bits
     return F.array(*parts)
 

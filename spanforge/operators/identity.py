@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 TAG_DIGITS = 12
 
@@ -22,7 +23,7 @@ def canonical_digest(value: Any, spaced: bool = False) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=separators, ensure_ascii=spaced, default=str).encode()).hexdigest()
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json_digest(texts: pd.Series) -> pd.Series:
     """The canonical digest of JSON texts; null for null and for text that isn't JSON."""
 

@@ -47,7 +47,7 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One row per line, with ``file`` and ``line``. A broken last line of a file (a write that was cut) is left out; a broken line before it is an error when the row is read."""
     if not _exists(spark, path):
         return spark.createDataFrame([], f"file string, line bigint, value struct<{schema}>").select("file", "line", "value.*")
-    text = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line", "raw")).where(F.trim("raw") != "")
     parsed = lines.withColumn("ok", F.try_parse_json("raw").isNotNull()).withColumn("value", F.from_json("raw", schema))
     last = lines.groupBy("file").agg(F.max("line").alias("last"))
