@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanforge.functions.normalize import EVAL_SPLITS, hash_bits, path_part, plain_digest, plain_name, plain_split
 from spanforge.session import Scratch
 
-_RANK_SHIFT = 44
+_VALUE_BITS, _RANK_SHIFT = 36, 44
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,11 @@ class Shingling:
         return F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << bits) - 1))
 
     def shingle(self, c: Column, number: int) -> Column:
-        """The number of the choice of blocks, then the values of its blocks."""
-        out = F.lit(number).cast("bigint")
+        """The number of the choice of blocks in the high bits, the values of its blocks below."""
+        out = F.lit(0).cast("bigint")
         for i in self.combinations[number]:
             out = F.shiftleft(out, self.bounds[i][1]).bitwiseOR(self.block(c, i))
-        return out
+        return out.bitwiseOR(F.lit(number << _VALUE_BITS))
 
 
 def ladder(distance: int) -> list[Shingling]:
@@ -92,8 +92,9 @@ class PrefixIndex:
         self.shingling = shingling
         self.ranks = []
         for i, (_, bits) in enumerate(shingling.bounds):
-            # 16 steps for each doubling of a value's count
-            self.ranks.append(F.lit([round(16 * math.log2(1 + counts.get((i, v), 0))) for v in range(1 << bits)]))
+            # 16 steps for each doubling of a value's count; one literal a table, not one a value
+            steps = (str(round(16 * math.log2(1 + counts.get((i, v), 0)))) for v in range(1 << bits))
+            self.ranks.append(F.split(F.lit(",".join(steps)), ",").cast("array<int>"))
 
     def rows(self, hashes: DataFrame) -> DataFrame:
         """(shingle, h) for the rarest shingles of each hash ``h``."""

@@ -37,25 +37,25 @@ def with_groups(spark: SparkSession, records: DataFrame, nodes: Sequence[str]) -
     The group is the least node of the component; it is null for a record without any node,
     which is a group by itself.
     """
-    components = group_nodes(spark, records, nodes).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    keyed = records.withColumn("_first", F.coalesce(*[F.col(c) for c in nodes]))
-    return keyed.join(components, keyed["_first"] == components["_node"], "left").withColumn("group", F.coalesce("_component", "_first")).drop("_first", "_node", "_component")
+    components = group_nodes(spark, records, nodes).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
+    keyed = records.withColumn("__first", F.coalesce(*[F.col(c) for c in nodes]))
+    return keyed.join(components, keyed["__first"] == components["__node"], "left").withColumn("group", F.coalesce("__component", "__first")).drop("__first", "__node", "__component")
 
 
 def spanning_groups(spark: SparkSession, records: DataFrame, nodes: Sequence[str], split: str) -> DataFrame:
     """The records, with their ``group``, of groups that show two or more different values of ``split``; nulls don't count."""
-    components = group_nodes(spark, records, nodes).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    components = group_nodes(spark, records, nodes).select(F.col("node").alias("__node"), F.col("component").alias("__component"))
     first = F.coalesce(*[F.col(c) for c in nodes])
     # Few rows per node, however many records share it.
-    shown = records.select(first.alias("_first"), F.col(split).alias("_split")).where("_first is not null and _split is not null").distinct()
-    shown = shown.join(components, shown["_first"] == components["_node"], "left").select(F.coalesce("_component", "_first").alias("group"), "_split")
-    mixed = shown.groupBy("group").agg(F.countDistinct("_split").alias("_n")).where("_n >= 2").select("group")
+    shown = records.select(first.alias("__first"), F.col(split).alias("__split")).where("__first is not null and __split is not null").distinct()
+    shown = shown.join(components, shown["__first"] == components["__node"], "left").select(F.coalesce("__component", "__first").alias("group"), "__split")
+    mixed = shown.groupBy("group").agg(F.countDistinct("__split").alias("__n")).where("__n >= 2").select("group")
     # All nodes of these groups: those of the components, and single nodes that are a group themselves.
-    of_component = components.join(mixed, components["_component"] == mixed["group"]).select("_node", "group")
-    own = mixed.select(F.col("group").alias("_node"), "group")
+    of_component = components.join(mixed, components["__component"] == mixed["group"]).select("__node", "group")
+    own = mixed.select(F.col("group").alias("__node"), "group")
     members = of_component.unionByName(own).distinct()
-    keyed = records.withColumn("_first", first)
-    return keyed.join(members, keyed["_first"] == members["_node"]).drop("_first", "_node")
+    keyed = records.withColumn("__first", first)
+    return keyed.join(members, keyed["__first"] == members["__node"]).drop("__first", "__node")
 
 
 class Placement:
@@ -116,7 +116,7 @@ def grouped_split(
     rows = records.select(F.col(record_id).alias("id"), hashed.alias("g"), *[F.coalesce(c, F.lit(False)).cast("int").alias(f"l{i}") for i, c in enumerate(label_columns.values())]).distinct()
     # One row per id, however its repeated rows differ in labels.
     labels = [f"l{i}" for i in range(len(names))]
-    rows = rows.groupBy("id", "g").agg(*[F.max(c).alias(c) for c in labels])
+    rows = rows.groupBy("id", "g").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in labels])
     groups = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in labels])
     groups = scratch.write(groups, "groups")
     totals_row = groups.agg(F.sum("n"), *[F.sum(c) for c in labels]).first()

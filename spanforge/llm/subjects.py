@@ -44,7 +44,7 @@ def paragraphs(text: str) -> list[str]:
     text = _TAG.sub("\n", html.unescape(repaired(text))).replace("\r\n", "\n").replace("\r", "\n")
     if not text.isascii():
         text = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c)).translate(_LETTERS)
-    return [p for p in _BREAK.split(text.lower()) if p.strip()]
+    return [p.strip() for p in _BREAK.split(text.lower()) if p.strip()]
 
 
 def word_items(paragraph: str) -> set[str]:
