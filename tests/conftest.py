@@ -13,7 +13,7 @@ SMALL = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_spark("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "3g", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4"})
+    session = get_spark("tests", "local[4]", **{"spark.sql.shuffle.partitions": "2", "spark.driver.memory": "3g", "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "2"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
