@@ -19,7 +19,7 @@ PIECES = "doc_id bigint, source string, cluster bigint, piece int, n_pieces int,
 
 
 def best_fit(sizes: Sequence[int], capacity: int, clusters: Sequence[int], sources: Sequence[int], apart: dict[int, int]) -> list[int]:
-    """The bin of each item, largest items first.
+    """The bin of each item, largest items first; copies count as larger, the more bins they need to lie apart.
 
     Bins of equal residual are kept together, and a bit for each residual with a bin gives the
     successor of a size. An item may not join a bin that holds its cluster, or a source that
@@ -27,10 +27,12 @@ def best_fit(sizes: Sequence[int], capacity: int, clusters: Sequence[int], sourc
     to the next bin, and to the next residual, until the tightest compatible bin is found.
     Ties: the bin that was last changed. An item larger than the capacity gets a bin alone.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     repeats: dict[int, int] = defaultdict(int)
     for c in clusters:
         repeats[c] += 1
+    # Copies that come last would each open a bin, though there was room for them before.
+    bins_needed = max(1.0, sum(sizes) / capacity)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i] - capacity * (repeats[clusters[i]] - 1) / bins_needed, -sizes[i], i))
     bit = {c: k for k, c in enumerate(c for c, n in repeats.items() if n > 1)}
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     inside: list[dict[int, int]] = [defaultdict(int) for _ in range(capacity + 1)]  # residual: cluster bit -> bins that hold it

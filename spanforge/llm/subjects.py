@@ -8,9 +8,11 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,7 @@ _TAG = re.compile(r"<[^<>]{0,40}>")
 _BREAK = re.compile(r"\n[ \t]*\n")
 _STOP = re.compile(r"[.;:,|!?]")
 # Letters without a decomposition, and signs that don't show.
-_LETTERS = str.maketrans({"đ": "d", "ß": "s", "ł": "l", "ø": "o", "​": None, "\xad": None, "\xa0": " "})
+_LETTERS = str.maketrans({"đ": "d", "ß": "ss", "ł": "l", "ø": "o", "​": None, "\xad": None, "\xa0": " "})
 # Scanning takes these for each other.
 _SCANNED = str.maketrans("01c", "ole")
 
@@ -180,9 +182,13 @@ def _counter(classes: int, label: Callable, chosen: np.ndarray | None, n_items:
     return run
 
 
-def _mine(data: DataFrame, classes: int, label: Callable, chosen: np.ndarray | None, n_items: int, support: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+Labelled = tuple[DataFrame, Callable]
+
+
+def _mine(inputs: list[Labelled], classes: int, chosen: np.ndarray | None, n_items: int, support: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes with their number of rows, and of rows per class, where a class has at least the share ``least``; the totals."""
-    partial = data.mapInArrow(_counter(classes, label, chosen, n_items), "code bigint, class bigint, n bigint")
+    parts = [data.mapInArrow(_counter(classes, label, chosen, n_items), "code bigint, class bigint, n bigint") for data, label in inputs]
+    partial = reduce(DataFrame.unionByName, parts)
     sums = partial.groupBy("code").agg(*[F.sum(F.when(F.col("class") == k, F.col("n"))).alias(f"n{k + 1}") for k in range(-1, classes)])
     sums = sums.na.fill(0)
     most = F.greatest(*[F.col(f"n{k + 1}") for k in range(classes)]) if classes > 1 else F.col("n1")
@@ -195,13 +201,13 @@ def _mine(data: DataFrame, classes: int, label: Callable, chosen: np.ndarray | N
 
 def _confidence(n: np.ndarray, by_class: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best class, its smoothed confidence, and its weight: the log odds beyond those of the prior."""
-    conf = (by_class + 2 * prior) / (n + 2)[:, None]
+    conf = (by_class + prior) / (n + 1)[:, None]
     k = conf.argmax(1) if len(conf) else np.zeros(0, int)
     best = np.clip(conf[np.arange(len(conf)), k], 1e-6, 1 - 1e-6)
     return k, best, np.log(best / (1 - best)) - np.log(prior[k] / (1 - prior[k]))
 
 
-def mine_rules(data: DataFrame, classes: int, label: Callable, n_items: int, support: int, confidence: float = 0.7, hint: float = 0.35) -> Rules:
+def mine_rules(inputs: list[Labelled], classes: int, n_items: int, support: int, confidence: float = 0.7, hint: float = 0.35) -> Rules:
     """Frequent-pattern growth to pairs, for rules of at least ``confidence``.
 
     First all frequent items are counted with the classes, in parallel; then patterns are grown from the
@@ -209,16 +215,17 @@ def mine_rules(data: DataFrame, classes: int, label: Callable, n_items: int, sup
     the rows that hold them. Items that are rules themselves aren't grown: a longer rule would be
     redundant beside the more general one.
     """
-    codes, n, by_class, totals = _mine(data, classes, label, None, n_items, support, hint * 0.8)
+    codes, n, by_class, totals = _mine(inputs, classes, None, n_items, support, hint * 0.8)
     prior = np.clip(totals[1:] / max(1, totals[0]), 0.005, 0.6)
     k, conf, weight = _confidence(n, by_class, prior)
     item_class, item_weight, grown = np.full(n_items, -1), np.zeros(n_items), np.zeros(n_items, bool)
     strong = (conf >= confidence) & (weight > 0)
     item_class[codes[strong]], item_weight[codes[strong]] = k[strong], weight[strong]
-    grown[codes[~strong & (conf >= np.maximum(hint, 2 * prior[k]))]] = True
+    hints = (by_class + prior) / (n + 1)[:, None] >= np.maximum(hint, 2 * prior)
+    grown[codes[~strong & hints.any(1)]] = True
     pair_code, pair_class, pair_weight = np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0)
     if grown.any():
-        codes, n, by_class, _ = _mine(data, classes, label, grown, n_items, support, confidence * 0.9)
+        codes, n, by_class, _ = _mine(inputs, classes, grown, n_items, support, confidence * 0.9)
         k, conf, weight = _confidence(n, by_class, prior)
         strong = (conf >= confidence) & (weight > 0)
         order = np.argsort(codes[strong])
@@ -236,20 +243,52 @@ def _hand_labels(classes: int) -> Callable:
     return label
 
 
-def _own_labels(rules: Rules, sure: float = 6.0, share: float = 0.8, least_hits: int = 3, unsure: float = 3.0) -> Callable:
-    """Rows with one clear class have it; rows without evidence are of none; the others aren't used."""
+def _clear(rules: Rules, ids: np.ndarray, row: np.ndarray, rows: int, sure: float = 6.0, share: float = 0.8, least_hits: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have one clear class, and the best class of each."""
+    k, best, part, n = _best(*rules.evidence(ids, row, rows))
+    return (best >= sure) & (n >= least_hits) & (part >= share), k
+
+
+def _own_labels(rules: Rules) -> Callable:
+    """Rows with one clear class have it; the others aren't used: words that no rule knows yet must not count against a class."""
 
     def label(batch: pa.RecordBatch, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total, hits = rules.evidence(ids, row, batch.num_rows)
-        k, best, part, n = _best(total, hits)
-        clear = (best >= sure) & (n >= least_hits) & (part >= share)
+        clear, k = _clear(rules, ids, row, batch.num_rows)
         marks = np.zeros((batch.num_rows, rules.classes), bool)
         marks[clear, k[clear]] = True
-        return clear | (total.sum(1) <= unsure), marks
+        return clear, marks
 
     return label
 
 
+def _open_labels(rules: Rules) -> Callable:
+    """Of hand-labelled documents the paragraphs without a clear class, with those labels that no other paragraph of the document explains.
+
+    The rows of a document come in one batch, see ``_whole_documents``.
+    """
+    hand = _hand_labels(rules.classes)
+
+    def label(batch: pa.RecordBatch, ids: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        clear, k = _clear(rules, ids, row, batch.num_rows)
+        marks = hand(batch, ids, row)[1]
+        _, doc = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+        explained = np.zeros((doc.max() + 1 if len(doc) else 0, rules.classes), bool)
+        explained[doc[clear], k[clear]] = True
+        marks &= ~explained[doc]
+        return ~clear & marks.any(1), marks
+
+    return label
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the lists of their paragraphs, as one row per paragraph."""
+    for batch in batches:
+        lists = batch.column(1)
+        parent = pc.list_parent_indices(lists)
+        parts = lists.flatten()
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(parent), parts.field("para"), parts.field("size"), parts.field("items"), batch.column(2).take(parent)], ["doc_id", "para", "size", "items", "classes"])
+
+
 @dataclass
 class Calibration:
     """The chance that the best class is right, from its evidence and its share: logistic, fitted on labelled documents."""
@@ -290,13 +329,14 @@ def _calibrate(labelled: DataFrame, rules: Rules) -> Calibration:
 
 
 def paragraph_subjects(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = 2, support_share: float = 1e-4, least_support: int = 3, chance: float = 0.5, least_hits: int = 3
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, subjects: list[str], rounds: int = 4, support_share: float = 1e-4, least_support: int = 3, chance: float = 0.5, least_hits: int = 3
 ) -> DataFrame:
     """(doc_id, para, size, subject, chance) of each paragraph that is mainly about a subject.
 
     Rules are mined from the paragraphs of the labelled documents (each with all labels of its
     document), then ``rounds`` times from all paragraphs that the rules before are sure of, so
-    that words which no labelled document holds are learned, too. A paragraph gets its best
+    that words which no labelled document holds are learned, too; and from the other
+    paragraphs of labelled documents with the labels that nothing explains yet. A paragraph gets its best
     class if at least ``least_hits`` rules match and the calibrated chance reaches ``chance``.
 
     Items in fewer than ``support_share`` of all paragraphs aren't frequent, so there are at
@@ -320,11 +360,12 @@ def paragraph_subjects(
     names = spark.createDataFrame(list(enumerate(subjects)), "class int, subject string")
     marked = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).join(F.broadcast(names), "subject")
     marked = marked.groupBy("doc_id").agg(F.sort_array(F.collect_set("class")).alias("classes"))
-    labelled = scratch.write(data.join(marked, "doc_id").select("doc_id", "para", "size", "items", "classes"), "labelled")
+    grouped = data.join(marked.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("para", "size", "items")).alias("parts")).join(marked, "doc_id")
+    labelled = scratch.write(grouped, "labelled").mapInArrow(_whole_documents, "doc_id bigint, para int, size int, items array<int>, classes array<int>")
     n_items = max(1, len(listed))
-    rules = mine_rules(labelled, len(subjects), _hand_labels(len(subjects)), n_items, least_support)
+    rules = mine_rules([(labelled, _hand_labels(len(subjects)))], len(subjects), n_items, least_support)
     for _ in range(rounds):
-        rules = mine_rules(data, len(subjects), _own_labels(rules), n_items, support)
+        rules = mine_rules([(data, _own_labels(rules)), (labelled, _open_labels(rules))], len(subjects), n_items, least_support)
     calibration = _calibrate(labelled, rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,9 @@ def test_learned_subjects(spark):
 
 def test_grown_rules(spark):
     # neither word tells the class, both together do
-    rows = [(i, 0, 9, [1, 2] if i % 8 == 0 else [1] if i % 8 == 1 else [2] if i % 8 == 2 else [0], [0] if i % 8 == 0 else [1]) for i in range(400)]
+    kinds = {0: ([1, 2], [0]), 1: ([1], [1]), 2: ([2], [1])}
+    rows = [(i, 0, 9, *kinds.get(i % 10, ([0], [1]))) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, para int, size int, items array<int>, classes array<int>")
-    rules = s.mine_rules(df, 2, s._hand_labels(2), 3, 3, confidence=0.9, hint=0.3)
-    assert (1 * 3 + 2) in rules.pair_code.tolist() and rules.pair_class[rules.pair_code.tolist().index(5)] == 0
+    rules = s.mine_rules([(df, s._hand_labels(2))], 2, 3, 3, confidence=0.9, hint=0.3)
+    assert rules.grown.tolist() == [False, True, True]
+    assert rules.pair_code.tolist() == [1 * 3 + 2] and rules.pair_class.tolist() == [0]
