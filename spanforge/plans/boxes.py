@@ -244,7 +244,7 @@ def suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
         sure = F.max(F.when(same & col(f"{g.iou('g_', 'p_')} >= 0.5"), F.col("p_conf")))
         one = both.groupBy("image", "g_idx").agg(F.coalesce(sure, F.lit(0.0)).alias("conf"), F.coalesce(F.max(F.when(same, col(f"p_conf * {g.iou('g_', 'p_')}"))), F.lit(0.0)).alias("loss"))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("image", "g_idx").agg(F.round(1 - F.max("conf"), 6).alias("s_conf"), F.round(1 - F.max("loss"), 6).alias("s_loss"), F.round(F.stddev_pop("conf"), 6).alias("s_disagree"))
+    return out.groupBy("image", "g_idx").agg(F.round(1 - F.max("conf"), 6).alias("s_conf"), F.round(1 - F.max("loss"), 9).alias("s_loss"), F.round(F.stddev_pop("conf"), 6).alias("s_disagree"))
 
 
 QUERIES = {
@@ -326,5 +326,5 @@ SQL = {
     "best_gt_match": f"SELECT cls, count(*) AS n_pred, sum(tp) AS n_tp FROM {sql_matched()} GROUP BY cls",
     "multi_threshold_match": f"""WITH b AS (SELECT image, g_cls AS cls, p_idx, g_idx, iou FROM (SELECT *, row_number() OVER (PARTITION BY image, p_idx ORDER BY iou DESC, g_idx) AS k FROM (SELECT *, round({g.iou('g_', 'p_', 'add9')}, 9) AS iou FROM {_GP} WHERE g_cls = p_cls)) WHERE k = 1)
         SELECT cls, t AS threshold, count(DISTINCT (image, g_idx)) AS n_tp FROM b, (SELECT CAST(unnest(range(50, 100, 5)) AS INTEGER) AS t) WHERE iou >= t / 100 GROUP BY cls, t""",
-    "suspicion": f"SELECT image, g_idx, round(1 - max(conf), 6) AS s_conf, round(1 - max(loss), 6) AS s_loss, round(stddev_pop(conf), 6) AS s_disagree FROM ({_SUSPICION}) GROUP BY image, g_idx",
+    "suspicion": f"SELECT image, g_idx, round(1 - max(conf), 6) AS s_conf, round(1 - max(loss), 9) AS s_loss, round(stddev_pop(conf), 6) AS s_disagree FROM ({_SUSPICION}) GROUP BY image, g_idx",
 }
