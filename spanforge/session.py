@@ -91,3 +91,5 @@ class Scratch:
         local = self.root.removeprefix("file://")
         if os.path.isdir(local):
             shutil.rmtree(local, ignore_errors=True)
+        elif self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+            self._delete(self.root)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,9 +43,15 @@ def cooldown_batch(rows: DataFrame, cooldown: float) -> DataFrame:
         keep, _ = emitted(t, cooldown)
         return [(int(group["event_id"][i]), float(group["confidence"][i]), int(group["micros"][i])) for i in np.flatnonzero(keep)]
 
-    timed = rows.withColumn("micros", F.unix_micros("ts")).withColumn("surest", -F.col("confidence")).drop("ts")
-    out = fold(timed, "key", ["micros", "surest", "event_id"], kernel, "key string, event_id bigint, confidence double, micros bigint")
-    return out.select("key", "event_id", F.timestamp_micros("micros").alias("ts"), "confidence")
+    timed = rows.select("key", "event_id", "confidence", F.unix_micros("ts").alias("micros")).withColumn("surest", -F.col("confidence"))
+    # A candidate that comes a cooldown after the one before it always emits, so the rows of a key are cut there: a
+    # busy key is many small folds.
+    order = Window.partitionBy("key").orderBy("micros")
+    gap = F.coalesce((F.col("micros") - F.lag("micros").over(order) >= F.lit(int(cooldown * 1e6))).cast("int"), F.lit(0)) if cooldown > 0 else F.lit(0)
+    cut = timed.withColumn("gap", gap).withColumn("part", F.sum("gap").over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    cut = cut.withColumn("run", F.to_json(F.struct("key", "part"))).drop("gap", "part", "key")
+    out = fold(cut, "run", ["micros", "surest", "event_id"], kernel, "run string, event_id bigint, confidence double, micros bigint")
+    return out.select(F.get_json_object("run", "$.key").alias("key"), "event_id", F.timestamp_micros("micros").alias("ts"), "confidence")
 
 
 def cooldown_stream(rows: DataFrame, cooldown: float, delay: str = "10 minutes") -> DataFrame:
