@@ -224,6 +224,34 @@ def _matched(spark: SparkSession, sf_dir: str, threshold: float = 0.5, model: in
     return best.withColumn("tp", F.coalesce(tp, F.lit(False)).cast("int")).select("image", F.col("p_idx").alias("idx"), "cls", F.col("p_conf").alias("conf"), "tp")
 
 
+def masked_matches(pred: DataFrame, gt: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """(image, idx, cls, conf, tp) of every prediction, ``tp`` an array of 0 or 1 per threshold.
+
+    Within an image and class the surest prediction chooses first; a label that is used is masked, and the
+    prediction falls to its next best label (ties: the first). The pairs are made once and
+    folded for each threshold, as a lower one uses up more labels. Boxes of one image and class are few.
+    """
+    both = prefixed(pred, "p_").withColumnRenamed("p_cls", "cls").join(prefixed(gt, "g_").withColumnRenamed("g_cls", "cls"), ["image", "cls"], "left")
+    score = F.round(col(g.iou("p_", "g_", "add9")), 9)
+    near = F.when(score >= min(thresholds), F.struct((-score).alias("s"), F.col("g_idx").alias("g")))
+    each = both.groupBy("image", "cls", "p_idx", "p_conf").agg(F.sort_array(F.collect_list(near)).alias("near"))
+    rows = each.groupBy("image", "cls").agg(F.sort_array(F.collect_list(F.struct((-F.col("p_conf")).alias("c"), F.col("p_idx").alias("idx"), "near"))).alias("ps"))
+
+    def used(t: float) -> Column:
+        """The label of each prediction in turn, or -1."""
+        first = lambda s, p: F.get(F.filter(p["near"], lambda x: (-x["s"] >= t) & ~F.array_contains(s, x["g"])), F.lit(0))["g"]
+        return F.aggregate("ps", F.array().cast("array<int>"), lambda s, p: F.concat(s, F.array(F.coalesce(first(s, p), F.lit(-1)))))
+
+    rows = rows.select("image", "cls", "ps", *[used(t).alias(f"u{i}") for i, t in enumerate(thresholds)])
+    one = rows.select("image", "cls", F.explode(F.arrays_zip("ps", *[f"u{i}" for i in range(len(thresholds))])).alias("r"))
+    return one.select("image", F.col("r.ps.idx").alias("idx"), "cls", (-F.col("r.ps.c")).alias("conf"), F.array(*[(F.col(f"r.u{i}") >= 0).cast("int") for i in range(len(thresholds))]).alias("tp"))
+
+
+def _masked(spark: SparkSession, sf_dir: str, threshold: float = 0.5, model: int = 0) -> DataFrame:
+    """Like ``_matched``, but with used labels masked."""
+    return masked_matches(pred_boxes(spark, sf_dir, model), gt_boxes(spark, sf_dir), (threshold,)).withColumn("tp", F.col("tp")[0])
+
+
 def multi_threshold_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At each of ten thresholds: pairs by IoU, one per prediction, then one per label (its first prediction)."""
     both = pairs(gt_boxes(spark, sf_dir), pred_boxes(spark, sf_dir), "g_", "p_", same_class=True).withColumn("iou", F.round(col(g.iou("g_", "p_", "add9")), 9)).where("iou >= 0.5")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanforge.plans.boxes import _matched, sql_matched
+from spanforge.plans.boxes import _masked, _matched, sql_matched
 from spanforge.sources.fixtures import SQL_GT, gt_boxes
 from spanforge.sources.tables import table
 
@@ -67,8 +69,11 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_TOTALS = f"(SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls)"
 
 
-def ap101(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return average_precision(_matched(spark, sf_dir), _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
+# The queries of these names match without masking, as their SQL does; the ones with _masked beside them mask used labels.
+
+
+def ap101(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
+    return average_precision(match(spark, sf_dir), _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
 
 
 def strict_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +86,11 @@ def strict_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("cls", *[F.round(c, 6).alias(c) for c in ("ap50", "ap75", "ap90")], F.round(F.col("ap50") - F.col("ap75"), 6).alias("gap"))
 
 
-def mean5_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mean5_gate(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
     """MEAN_5 of two models and whether the second may replace the first."""
     out = None
     for model in (0, 1):
-        ap = average_precision(_matched(spark, sf_dir, model=model), _totals(spark, sf_dir), ["cls"])
+        ap = average_precision(match(spark, sf_dir, model=model), _totals(spark, sf_dir), ["cls"])
         one = ap.agg((F.sum(F.when(F.col("cls") >= 1, F.col("ap"))) / 5).alias("mean5"), F.avg("ap").alias("map"), F.max(F.when(F.col("cls") == 4, F.col("ap"))).alias("ap4")).withColumn("model", F.lit(model))
         out = one if out is None else out.unionByName(one)
     wide = out.groupBy().agg(*[F.max(F.when(F.col("model") == k, F.col(c))).alias(f"{c}_{k}") for c in ("mean5", "map", "ap4") for k in (0, 1)])
@@ -93,18 +98,18 @@ def mean5_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select(F.round("mean5_0", 6).alias("mean5_base"), F.round("mean5_1", 6).alias("mean5_candidate"), F.round(F.col("mean5_1") - F.col("mean5_0"), 6).alias("gain"), passed.alias("candidate_pass"))
 
 
-def two_tier_gate(spark: SparkSession, sf_dir: str, tau: float = 0.9) -> DataFrame:
+def two_tier_gate(spark: SparkSession, sf_dir: str, tau: float = 0.9, match: Callable = _matched) -> DataFrame:
     """A small model flags images with a defect; only those get the boxes of the large one."""
-    flagged = _matched(spark, sf_dir, model=0).where((F.col("cls") >= 1) & (F.col("conf") >= tau)).select("image").distinct()
-    system = _matched(spark, sf_dir, model=1).join(flagged, "image", "left_semi")
+    flagged = match(spark, sf_dir, model=0).where((F.col("cls") >= 1) & (F.col("conf") >= tau)).select("image").distinct()
+    system = match(spark, sf_dir, model=1).join(flagged, "image", "left_semi")
     return average_precision(system, _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
 
 
-def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tau_sweep(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
     """Per threshold of the flag: share of images sent on, and MEAN_5."""
-    flags = _matched(spark, sf_dir, model=0).where("cls >= 1").groupBy("image").agg(F.max("conf").alias("top"))
+    flags = match(spark, sf_dir, model=0).where("cls >= 1").groupBy("image").agg(F.max("conf").alias("top"))
     taus = F.explode(F.array(*[F.lit(t) for t in TAUS])).alias("tau")
-    system = _matched(spark, sf_dir, model=1).join(flags, "image").select("*", taus).where("top >= tau")
+    system = match(spark, sf_dir, model=1).join(flags, "image").select("*", taus).where("top >= tau")
     totals = _totals(spark, sf_dir).select("*", taus)
     mean = average_precision(system, totals, ["tau", "cls"]).groupBy("tau").agg((F.sum(F.when(F.col("cls") >= 1, F.col("ap"))) / 5).alias("mean5"))
     images = gt_boxes(spark, sf_dir).agg(F.countDistinct("image").alias("n"))
@@ -150,6 +155,22 @@ def bootstrap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ap.groupBy("cls").agg(F.round(F.avg("ap"), 6).alias("mean_ap"), q(0.025).alias("low"), q(0.975).alias("high"))
 
 
+def ap101_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ap101(spark, sf_dir, _masked)
+
+
+def mean5_gate_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mean5_gate(spark, sf_dir, _masked)
+
+
+def two_tier_gate_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return two_tier_gate(spark, sf_dir, match=_masked)
+
+
+def tau_sweep_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tau_sweep(spark, sf_dir, _masked)
+
+
 def precision_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greatest recall, and the best precision at a recall of at least 0.3."""
     run = Window.partitionBy("cls").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
@@ -233,6 +254,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ap101, strict_profile, mean5_gate, two_tier_gate, tau_sweep, bootstrap_map, precision_at_recall, rescored_ap, config_winner, best_epoch, spearman_scores, auroc, histogram_nll, linear_fit,
+        ap101_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked,
     )
 }
 
