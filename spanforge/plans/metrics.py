@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanforge.plans import duplicates
 from spanforge.plans.boxes import _masked, _matched, sql_matched
 from spanforge.sources.fixtures import SQL_GT, gt_boxes
 from spanforge.sources.tables import table
 
 GRID = 100
 REPLICATES = 20
+ROUNDS, ROUNDS_A_TASK, TARGET = 1000, 50, 0.82
 TAUS = (0.05, 0.2, 0.4, 0.6, 0.8)
 
 
@@ -171,6 +176,141 @@ def tau_sweep_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tau_sweep(spark, sf_dir, _masked)
 
 
+_CUTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def poisson_weights(units: np.ndarray, rounds: int) -> np.ndarray:
+    """A Poisson(1) number for each unit (a hash) and round, the same wherever it is asked for; before them a column of ones: the sample itself."""
+    with np.errstate(over="ignore"):
+        x = units.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.c_[np.ones(len(u), np.int64), np.searchsorted(_CUTS, u.ravel(), "right").reshape(u.shape)]
+
+
+def weighted_ap(t: np.ndarray, n: np.ndarray, npos: float) -> float:
+    """``average_precision`` of one curve: weights of hits and of predictions at each confidence, the surest first."""
+    ct, cn = np.cumsum(t)[n > 0], np.cumsum(n)[n > 0]
+    if not len(cn) or npos <= 0:
+        return 0.0
+    rec, env = ct / npos, np.maximum.accumulate((ct / cn)[::-1])[::-1]
+    x = np.arange(GRID + 1) / GRID
+    y = np.interp(x + 1e-11, np.r_[0, rec, max(1.0, rec[-1])], np.r_[1, env, 0 if rec[-1] < 1 else env[-1]])
+    y[-1] = env[np.argmax(rec >= 1)] if rec[-1] >= 1 else 0.0
+    return float(np.trapezoid(y, x))
+
+
+def _weigh(rounds: int) -> Callable:
+    """Rows sorted by (model, cls, conf) -> sums of weights of each of these, in slices of rounds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, t, n = None, None, None
+
+        def slices() -> pd.DataFrame:
+            cuts = range(0, rounds + 1, ROUNDS_A_TASK)
+            return pd.DataFrame([(*key, c, t[c : c + ROUNDS_A_TASK], n[c : c + ROUNDS_A_TASK]) for c in cuts], columns=["model", "cls", "conf", "first", "t", "n"])
+
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.iloc[at : at + 2000]
+                weights, keys = poisson_weights(part["unit"].to_numpy(), rounds), part[["model", "cls", "conf"]].to_numpy()
+                starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)])
+                ts, ns = (np.add.reduceat(weights * part[c].to_numpy()[:, None], starts, axis=0) for c in ("t", "n"))
+                out = []
+                for k, a in enumerate(starts):
+                    now = (int(keys[a, 0]), int(keys[a, 1]), float(keys[a, 2]))
+                    if now == key:
+                        t, n = t + ts[k], n + ns[k]
+                        continue
+                    if key is not None:
+                        out.append(slices())
+                    key, t, n = now, ts[k], ns[k]
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+        if key is not None:
+            yield slices()
+
+    return run
+
+
+def _curves(frame: pd.DataFrame) -> pd.DataFrame:
+    """AP of each round of a slice; rows with model -1 count the labels."""
+    t, n = np.stack(frame["t"].to_numpy()), np.stack(frame["n"].to_numpy())
+    model, first = frame["model"].to_numpy(), int(frame["first"].iloc[0])
+    npos, out = n[model < 0].sum(0), []
+    for m in sorted({*frame["models"].iloc[0]}):
+        at = np.flatnonzero(model == m)
+        at = at[np.argsort(-frame["conf"].to_numpy()[at], kind="stable")]
+        out += [(m, int(frame["cls"].iloc[0]), first + r, weighted_ap(t[at, r], n[at, r], npos[r])) for r in range(n.shape[1])]
+    return pd.DataFrame(out, columns=["model", "cls", "round", "ap"])
+
+
+def bootstrap_ap(matched: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(model, cls, round, ap) over resamples of units; round 0 is the sample itself.
+
+    ``matched`` (model, cls, conf, tp, unit) has the predictions of all models, ``labels`` (cls, unit) the labels. Weights depend on the unit and
+    the round only, so that models are compared on the same resamples. Matches are summed per unit and confidence, then weighted
+    in each task for all rounds at once; what is sent on are sums per confidence, in slices of rounds. A task has the curves
+    of one class for ``ROUNDS_A_TASK`` rounds. The sums of labels are made in 16 parts a class.
+    """
+    models = sorted(r[0] for r in matched.select("model").distinct().collect())
+    steps = matched.groupBy("model", "cls", "conf", F.xxhash64("unit").alias("unit")).agg(F.sum("tp").cast("bigint").alias("t"), F.count("*").alias("n"))
+    # as confidences of model -1, so that no task has all labels of a class
+    counts = labels.groupBy("cls", F.xxhash64("unit").alias("unit")).agg(F.count("*").alias("n"))
+    counts = counts.select(F.lit(-1).alias("model"), "cls", F.pmod("unit", F.lit(16)).cast("double").alias("conf"), "unit", F.lit(0).cast("bigint").alias("t"), "n")
+    rows = steps.select("model", "cls", F.col("conf").cast("double").alias("conf"), "unit", "t", "n").unionByName(counts)
+    sums = rows.repartition("model", "cls", "conf").sortWithinPartitions("model", "cls", "conf")
+    sums = sums.mapInPandas(_weigh(rounds), "model int, cls int, conf double, first int, t array<bigint>, n array<bigint>")
+    return sums.withColumn("models", F.array(*[F.lit(m) for m in models]).cast("array<int>")).groupBy("cls", "first").applyInPandas(_curves, "model int, cls int, round int, ap double")
+
+
+def bootstrap_summary(ap: DataFrame, target: float = TARGET) -> DataFrame:
+    """Per model, and for the difference of each later model to the first on the same resamples: value of the sample, 95 % limits and the
+    chance to be above ``target`` (a difference: above 0), of MEAN_5 and of each class."""
+    mean5 = ap.groupBy("model", "round").agg((F.sum(F.when(F.col("cls") >= 1, F.col("ap"))) / 5).alias("value")).select("model", "round", F.lit("MEAN_5").alias("measure"), "value")
+    rows = mean5.unionByName(ap.select("model", "round", F.concat(F.lit("class_"), F.col("cls")).alias("measure"), F.col("ap").alias("value")))
+    least = rows.agg(F.min("model").alias("base"))
+    both = rows.crossJoin(F.broadcast(least))
+    base = both.where("model = base").select("round", "measure", F.col("value").alias("before"))
+    paired = both.where("model <> base").join(base, ["round", "measure"])
+    name = F.concat(F.lit("model_"), F.col("model"))
+    all_ = rows.select(name.alias("setting"), "round", "measure", "value", F.lit(float(target)).alias("above"))
+    all_ = all_.unionByName(paired.select(F.concat(name, F.lit(" - model_"), F.col("base")).alias("setting"), "round", "measure", (F.col("value") - F.col("before")).alias("value"), F.lit(0.0).alias("above")))
+    drawn = F.when(F.col("round") > 0, F.col("value"))
+    q = lambda p: F.round(F.percentile(drawn, p), 6)
+    return all_.groupBy("setting", "measure").agg(
+        F.round(F.max(F.when(F.col("round") == 0, F.col("value"))), 6).alias("value"), q(0.025).alias("low"), q(0.975).alias("high"), F.max("above").alias("above"),
+        F.round(F.avg(F.when(F.col("round") > 0, (F.col("value") > F.col("above")).cast("int"))), 6).alias("p_above"), F.count(drawn).alias("rounds"),
+    )
+
+
+def _bootstrap(spark: SparkSession, sf_dir: str, clusters: DataFrame | None = None, rounds: int = ROUNDS, target: float = TARGET) -> DataFrame:
+    """Two models over resamples of images, or of ``clusters`` (image, cluster): images of a cluster are drawn together, others by themselves."""
+    matched = None
+    for model in (0, 1):
+        one = _masked(spark, sf_dir, model=model).select("image", "cls", "conf", "tp", F.lit(model).alias("model"))
+        matched = one if matched is None else matched.unionByName(one)
+    labels = gt_boxes(spark, sf_dir).select("image", "cls")
+    if clusters is None:
+        matched, labels = (df.withColumn("unit", F.struct(F.lit(0).alias("kind"), F.col("image").cast("bigint").alias("id"))) for df in (matched, labels))
+    else:
+        unit = F.struct(F.when(F.col("cluster").isNull(), 0).otherwise(1).alias("kind"), F.coalesce("cluster", "image").cast("bigint").alias("id"))
+        matched, labels = (df.join(clusters, "image", "left").withColumn("unit", unit) for df in (matched, labels))
+    return bootstrap_summary(bootstrap_ap(matched, labels, rounds), target)
+
+
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP and MEAN_5 of two models over resamples of the images, and their difference on the same resamples."""
+    return _bootstrap(spark, sf_dir)
+
+
+def bootstrap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with near-duplicate images drawn together; the vector of an image is the one of its number."""
+    groups = duplicates.dup_components(spark, sf_dir)
+    return _bootstrap(spark, sf_dir, groups.select(F.col("vec_id").alias("image"), F.col("group_id").alias("cluster")))
+
+
 def precision_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greatest recall, and the best precision at a recall of at least 0.3."""
     run = Window.partitionBy("cls").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
@@ -254,7 +394,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ap101, strict_profile, mean5_gate, two_tier_gate, tau_sweep, bootstrap_map, precision_at_recall, rescored_ap, config_winner, best_epoch, spearman_scores, auroc, histogram_nll, linear_fit,
-        ap101_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked,
+        ap101_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked, bootstrap_intervals, bootstrap_clusters,
     )
 }
 
