@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.plans import duplicates
-from spanforge.plans.boxes import _masked, _matched, sql_matched
-from spanforge.sources.fixtures import SQL_GT, gt_boxes
+from spanforge.plans.boxes import _masked, _matched, masked_matches, sql_matched
+from spanforge.sources.fixtures import SQL_GT, gt_boxes, pred_boxes
 from spanforge.sources.tables import table
 
 GRID = 100
@@ -91,6 +91,19 @@ def strict_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("cls", *[F.round(c, 6).alias(c) for c in ("ap50", "ap75", "ap90")], F.round(F.col("ap50") - F.col("ap75"), 6).alias("gap"))
 
 
+def strict_profile_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP at 0.5, its mean over the ten thresholds to 0.95, the gap between these, and AP at 0.75, 0.9 and 0.95: one join of the pairs for all."""
+    steps = range(50, 100, 5)
+    pred, gt = pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir)
+    at = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in steps]).alias("step"), F.col("tp").alias("tp"))).alias("x")
+    rows = masked_matches(pred, gt, tuple(t / 100 for t in steps)).select("cls", "conf", at).select("cls", "conf", F.col("x.step").alias("step"), F.col("x.tp").alias("tp"))
+    totals = _totals(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(t) for t in steps])).alias("step"))
+    ap = average_precision(rows, totals, ["cls", "step"])
+    named = {f"ap{t}": F.max(F.when(F.col("step") == t, F.col("ap"))) for t in (50, 75, 90, 95)}
+    wide = ap.groupBy("cls").agg(F.avg("ap").alias("ap50_95"), *[c.alias(k) for k, c in named.items()])
+    return wide.select("cls", F.round("ap50", 6).alias("ap50"), F.round("ap50_95", 6).alias("ap50_95"), F.round(F.col("ap50") - F.col("ap50_95"), 6).alias("gap"), *[F.round(c, 6).alias(c) for c in ("ap75", "ap90", "ap95")])
+
+
 def mean5_gate(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
     """MEAN_5 of two models and whether the second may replace the first."""
     out = None
@@ -394,7 +407,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ap101, strict_profile, mean5_gate, two_tier_gate, tau_sweep, bootstrap_map, precision_at_recall, rescored_ap, config_winner, best_epoch, spearman_scores, auroc, histogram_nll, linear_fit,
-        ap101_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked, bootstrap_intervals, bootstrap_clusters,
+        ap101_masked, strict_profile_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked, bootstrap_intervals, bootstrap_clusters,
     )
 }
 

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 
 from spanforge.operators.matching import greedy_masked, iou_matrix
-from spanforge.plans.boxes import masked_matches
+from spanforge.plans import metrics
+from spanforge.plans.boxes import _masked, masked_matches
 
 BOX = "image long, idx int, cls int, cx double, cy double, w double, h double"
 
@@ -38,3 +40,12 @@ def test_a_second_prediction_falls_to_the_next_label(spark):
     pred = [(1, 0, 0, 0.5, 0.5, 0.4, 0.4, 0.9), (1, 1, 0, 0.51, 0.5, 0.4, 0.4, 0.8)]
     got = masked_matches(spark.createDataFrame(pred, BOX + ", conf double"), spark.createDataFrame(gt, BOX))
     assert sorted((r["idx"], r["tp"][0]) for r in got.collect()) == [(0, 1), (1, 1)]
+
+
+def test_profile_over_ten_thresholds(spark, sf_dir):
+    got = {r["cls"]: r for r in metrics.strict_profile_masked(spark, sf_dir).collect()}
+    each = {t: {r["cls"]: r["ap"] for r in metrics.average_precision(_masked(spark, sf_dir, t / 100), metrics._totals(spark, sf_dir), ["cls"]).collect()} for t in range(50, 100, 5)}
+    assert len(got) == 6
+    for c, r in got.items():
+        mean = np.mean([each[t][c] for t in each])
+        assert [r["ap50"], r["ap50_95"], r["gap"], r["ap75"], r["ap90"], r["ap95"]] == pytest.approx([each[50][c], mean, each[50][c] - mean, each[75][c], each[90][c], each[95][c]], abs=2e-6)
