@@ -10,6 +10,7 @@ from spanforge.sources.fixtures import SQL_MANIFEST, manifest, sign_hashes, sql_
 from spanforge.sources.tables import table
 
 BITS, NEAR, STRONG_COSINE, REVIEW_NEAR, REVIEW_COSINE = 24, 4, 0.35, 6, 0.20
+SECOND_NEAR = 6
 QUERY_STEP = 20
 
 
@@ -97,6 +98,42 @@ def strong_review_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("kind", kind).where("kind is not null").select("a", "b", "kind", F.round("cosine", 6).alias("cosine"))
 
 
+def leak_edges_of(rows: DataFrame) -> DataFrame:
+    """(a, b, h1, h2, cosine, kind) of pairs of ``rows`` (vec_id, hash, second, embedding) that are near by one of two hashes.
+
+    Strong: near by the first and by the second hash, with a high cosine; else for review if the cosine is fair. Both distances
+    are computed for every pair; pairs that the first hash finds aren't taken again from the second.
+    """
+    side = lambda v, e, s: rows.select(F.col("vec_id").alias(v), F.col("embedding").alias(e), F.col("hash").alias(f"{s}1"), F.col("second").alias(f"{s}2"))
+    left, right = side("a", "ea", "x"), side("b", "eb", "y")
+    found = [dedup.hamming_join(left.withColumn("hash", F.col(f"x{k}")), right.withColumn("hash", F.col(f"y{k}")), REVIEW_NEAR, BITS).where("a < b").drop("hamming") for k in (1, 2)]
+    h1, h2 = (F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))).cast("int") for k in (1, 2))
+    both = found[0].unionByName(found[1].where(h1 > REVIEW_NEAR)).select("a", "b", h1.alias("h1"), h2.alias("h2"), dedup.cosine("ea", "eb").alias("cosine"))
+    strong = (F.col("h1") <= NEAR) & (F.col("h2") <= SECOND_NEAR) & (F.col("cosine") >= STRONG_COSINE)
+    return both.withColumn("kind", F.when(strong, "strong").when(F.col("cosine") >= REVIEW_COSINE, "review")).where("kind is not null")
+
+
+def _leak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = sign_hashes(spark, sf_dir, BITS, BITS).select("vec_id", F.col("hash").alias("second"))
+    return leak_edges_of(sign_hashes(spark, sf_dir, 0, BITS).join(second, "vec_id"))
+
+
+def leak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``strong_review_edges``, but strong only if the second hash is near, too."""
+    return _leak_edges(spark, sf_dir).select("a", "b", "h1", "h2", "kind", F.round("cosine", 6).alias("cosine"))
+
+
+def leak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the strong edges of ``leak_edges``."""
+    groups = dedup.components(spark, _leak_edges(spark, sf_dir).where("kind = 'strong'").select("a", "b"), "a", "b")
+    return groups.select(F.col("node").alias("vec_id"), F.col("component").alias("group_id"))
+
+
+def leak_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members outside test of components of strong edges that hold a test vector."""
+    return _touching_test(leak_components(spark, sf_dir))
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = dedup.components(spark, _pairs(spark, sf_dir).select("a", "b"), "a", "b")
     return groups.select(F.col("node").alias("vec_id"), F.col("component").alias("group_id"))
@@ -108,7 +145,11 @@ def dup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quarantine_test_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members outside test of groups that hold a test vector."""
-    rows = _members(spark, sf_dir).withColumn("split", _split("vec_id"))
+    return _touching_test(_members(spark, sf_dir))
+
+
+def _touching_test(members: DataFrame) -> DataFrame:
+    rows = members.withColumn("split", _split("vec_id"))
     touched = rows.groupBy("group_id").agg(F.bool_or(F.col("split") == "test").alias("t")).where("t").select("group_id")
     return rows.where("split <> 'test'").join(touched, "group_id", "left_semi").select("vec_id", "group_id", "split")
 
@@ -178,6 +219,7 @@ QUERIES = {
     for f in (
         exact_leakage, cross_split_groups, dedup_first_wins, dedup_conflicts, dedup_preference, quarantine_reason, near_dup_pairs, near_dup_vs_reference, strong_review_edges,
         dup_components, quarantine_test_touching, review_pairs_on_test, drop_later_or_known, external_two_pass, nearest_hash, overlay_sets,
+        leak_edges, leak_components, leak_quarantine,
     )
 }
 
