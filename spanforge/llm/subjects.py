@@ -208,11 +208,10 @@ def _confidence(n: np.ndarray, by_class: np.ndarray, prior: np.ndarray) -> tuple
 
 
 def mine_rules(inputs: list[Labelled], classes: int, n_items: int, support: int, confidence: float = 0.7, hint: float = 0.35) -> Rules:
-    """Frequent-pattern growth to pairs, for rules of at least ``confidence``.
+    """Rules of at least ``confidence`` of one or two items, by two counts; not full frequent-pattern growth.
 
-    First all frequent items are counted with the classes, in parallel; then patterns are grown from the
-    items that hint at a class (``hint`` <= confidence < ``confidence``), in the projections of
-    the rows that hold them. Items that are rules themselves aren't grown: a longer rule would be
+    First all frequent items are counted with the classes, in parallel; then pairs of the
+    items that both hint at a class (``hint`` <= confidence < ``confidence``). Items that are rules themselves aren't grown: a longer rule would be
     redundant beside the more general one.
     """
     codes, n, by_class, totals = _mine(inputs, classes, None, n_items, support, hint * 0.8)
