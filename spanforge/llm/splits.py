@@ -124,7 +124,7 @@ def grouped_split(
     order = sorted(range(len(labels)), key=lambda i: (totals[i + 1], i))
     rarest = F.coalesce(*[F.when(F.col(labels[i]) > 0, F.lit(i)) for i in order], F.lit(-1)) if labels else F.lit(-1)
     limit = max(1.0, totals[0] / largest)
-    big = F.col("n") >= limit if limit > 1 else F.lit(False)
+    big = F.col("n") >= limit
     bundle = F.when(big, F.concat(F.lit("g:"), F.hex("g"))).otherwise(F.concat_ws(":", F.lit("b"), rarest, F.pmod(F.xxhash64("g"), F.lit(bundles))))
     groups = groups.withColumn("bundle", bundle)
     items = groups.groupBy("bundle").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in labels]).orderBy("bundle").collect()

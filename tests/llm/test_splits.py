@@ -43,3 +43,12 @@ def test_rarest_label_first():
     vectors = np.array([[10, 10, 0], [1, 1, 1], [9, 9, 0], [1, 1, 1]], float)
     placed = Placement(vectors.sum(0), np.array([0.5, 0.5])).run(vectors)
     assert placed[1] != placed[3] and placed[0] != placed[2]
+
+
+def test_groups_of_small_tables_are_placed_singly(spark):
+    rows = [(i, i // 3, i % 7 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "rid long, k int, l boolean").withColumn("group", F.col("k").cast("string").cast("binary"))
+    out = grouped_split(spark, df, "rid", "group", {"l": F.col("l")}, {"train": 0.5, "test": 0.5}, bundles=1)
+    # in one bundle a label the halves could not be met
+    got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert abs(got["train"] - 150) <= 3 and abs(got["test"] - 150) <= 3
