@@ -54,6 +54,12 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there; other faults of the file system are raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 class Scratch:
     """Named intermediate tables of one run in the shared folder."""
 
