@@ -160,7 +160,12 @@ def cross_split(spark: SparkSession, images: DataFrame, distance: int = 4, with_
     rows = scratch.write(rows.where("split is not null"), "plain")
     held, train = rows.where(F.col("split").isin(*EVAL_SPLITS)), rows.where("split = 'train'")
     seen = train.where("d is not null").select("d", F.lit(True).alias("same")).distinct()
-    held = scratch.write(held.join(seen, "d", "left").drop("d"), "exact")
+    # Missing digests and hashes would all meet in one task of a left join.
+    known = held.where("d is not null").join(seen, "d", "left").drop("d")
+    held = scratch.write(known.unionByName(held.where("d is null").drop("d").withColumn("same", F.lit(None).cast("boolean"))), "exact")
     near = near_probe(spark, held.where("same is null").select("h"), train.select("h"), distance).withColumn("close", F.lit(True))
     kind = F.when(F.col("same"), "exact").when(F.col("close"), "near")
-    return held.join(near, "h", "left").withColumn("match_kind", kind).drop("h", "same", "close")
+    open_ = F.col("h").isNotNull() & F.col("same").isNull()
+    hashed = held.where(open_).join(near, "h", "left").withColumn("match_kind", kind)
+    rest = held.where(~open_).withColumn("match_kind", F.when(F.col("same"), "exact"))
+    return hashed.drop("h", "same", "close").unionByName(rest.drop("h", "same"))
