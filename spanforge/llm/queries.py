@@ -195,10 +195,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every overlay with the cluster it has ended in."""
-    history, _ = link_batches(spark, table(spark, sf_dir, "direct_overlay_manifest"), clusters=True)
+    history, _ = link_batches(spark, table(spark, sf_dir, "direct_overlay_manifest"))
     return history.clusters().select(F.col("id").alias("overlay_id"), "cluster_id", "is_representative")
 
 
+_P5_NAME = "regexp_extract(lower(regexp_extract(replace(source_image, '\\', '/'), '[^/]*$')), '(?:^|[^a-z])([a-z]+_[0-9]{8})(?:[^0-9]|$)', 1)"
+_P5_FIELDS = f"""SELECT DISTINCT overlay_id AS id, batch_no AS batch, {nz.sql_digest('source_sha256')} AS digest, nullif(phash_int, 0) AS h, {nz.sql_name('source')} AS dataset, nullif({_P5_NAME}, '') AS file FROM direct_overlay_manifest WHERE overlay_id IS NOT NULL"""
+# Row by row over those that match any other: the state holds the accepted rows so far.
+P5_SQL = f"""WITH RECURSIVE r AS MATERIALIZED ({_P5_FIELDS}),
+pair AS MATERIALIZED (SELECT x.id AS later, x.batch, y.id AS earlier, y.batch AS batch_y FROM r x JOIN r y ON (y.batch, y.id) < (x.batch, x.id)
+    AND (x.digest = y.digest OR bit_count(xor(x.h, y.h)) <= 4 OR (x.dataset = y.dataset AND x.file = y.file))),
+place AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY batch, id) AS k FROM (SELECT later AS id, batch FROM pair UNION SELECT earlier, batch_y FROM pair)),
+before AS MATERIALIZED (SELECT k, id, coalesce(list(earlier) FILTER (earlier IS NOT NULL), []) AS ids FROM place LEFT JOIN pair ON later = id GROUP BY k, id),
+walk(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+    SELECT b.k, CASE WHEN list_has_any(w.kept, b.ids) THEN w.kept ELSE list_append(w.kept, b.id) END FROM walk w JOIN before b ON b.k = w.k + 1),
+kept AS MATERIALIZED (SELECT unnest(kept) AS id FROM (SELECT kept FROM walk ORDER BY k DESC LIMIT 1))
+SELECT DISTINCT least(later, earlier) AS overlay_id_a, greatest(later, earlier) AS overlay_id_b FROM pair WHERE later NOT IN (SELECT id FROM kept) AND earlier IN (SELECT id FROM kept)"""
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [r["subject"] for r in table(spark, sf_dir, "subject_areas").select("subject").distinct().orderBy("subject").collect()]
     return paragraph_subjects(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_subject_labels"), names)
@@ -246,4 +260,4 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p9_found": p9_found, "p9_report": p9_report, "p8_mix": p8_mix, "p8_report": p8_report}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p7_found": P7_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
