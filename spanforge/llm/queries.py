@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.functions import normalize as nz
@@ -11,7 +13,7 @@ from spanforge.llm.consensus import consensus_survivors
 from spanforge.llm.linkage import link_batches
 from spanforge.llm.mixing import Mixer, mix_report
 from spanforge.llm.overlap import cross_split
-from spanforge.llm.packing import pack, pack_report
+from spanforge.llm.packing import pack_all, pack_checks, pack_report
 from spanforge.llm.splits import grouped_split, node, spanning_groups, with_groups
 from spanforge.llm.subjects import paragraph_subjects
 from spanforge.session import Scratch
@@ -79,16 +81,52 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return torn.select("rid", F.decode(F.expr("substring(group, 2)"), "UTF-8").alias("group_source")).distinct()
 
 
-def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the audit in train, val or test, groups kept whole."""
-    rows = Scratch(spark, "audit").write(_audit_nodes(spark, sf_dir), "nodes")
-    rows = with_groups(spark, rows, ["by_source", "by_digest"])
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column], DataFrame]:
+    """The audit rows with their groups, the labels, and the splits."""
+    rows = Scratch(spark, "audit").write(_audit_nodes(spark, sf_dir).distinct(), "nodes")
+    # A record whose rows differ in source or digest is a node of its own, so that all its groups are one.
+    torn = rows.groupBy("rid").agg(F.count_distinct(F.struct("by_source", "by_digest")).alias("n")).where("n > 1 and rid is not null").select("rid", node(2, F.col("rid").cast("string")).alias("by_record"))
+    rows = with_groups(spark, rows.join(torn, "rid", "left"), ["by_source", "by_digest", "by_record"])
     names = [r["dataset"] for r in table(spark, sf_dir, "source_registry").select(nz.plain_name(F.col("dataset")).alias("dataset")).distinct().orderBy("dataset").collect()]
     dataset = F.split_part(F.col("plain_source"), F.lit("/"), F.lit(1))
     labels = {f"dataset:{n}": dataset == n for n in names}
     boxes = F.col("n_boxes")
     labels |= {"boxes:none": boxes == 0, "boxes:one": boxes == 1, "boxes:few": boxes.between(2, 4), "boxes:many": boxes >= 5}
-    return grouped_split(spark, rows, "rid", "group", labels, SPLIT_SHARES)
+    return rows, labels, grouped_split(spark, rows, "rid", "group", labels, SPLIT_SHARES)
+
+
+def p3_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the audit in train, val or test, groups kept whole."""
+    return _split(spark, sf_dir)[2]
+
+
+def p3_split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of each label per split, and their share of all records with the label beside the wanted one."""
+    rows, labels, placed = _split(spark, sf_dir)
+    held = rows.groupBy("rid").agg(*[F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(k) for k, c in labels.items()])
+    wanted = F.coalesce(*[F.when(F.col("split") == k, F.lit(v)) for k, v in SPLIT_SHARES.items()])
+    counts = held.join(placed, "rid").groupBy("split").agg(*[F.sum(F.col(f"`{k}`")).alias(k) for k in labels])
+    long = counts.unpivot("split", [F.col(f"`{k}`") for k in labels], "label", "n_records")
+    whole = F.sum("n_records").over(Window.partitionBy("label"))  # three rows a label
+    return long.select("split", "label", "n_records", F.round(F.col("n_records") / whole, 6).alias("share"), wanted.alias("wanted_share"))
+
+
+def p3_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records were placed, and how often the rules of the split are broken."""
+    rows, _, placed = _split(spark, sf_dir)
+    both = rows.select("rid", "by_source", "by_digest").join(placed, "rid")
+    parts = [placed.agg(F.lit("records").alias("what"), F.count_distinct("rid").alias("n"))]
+    for what, key in (("records_in_two_splits", "rid"), ("sources_in_two_splits", "by_source"), ("digests_in_two_splits", "by_digest")):
+        torn = both.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("split").alias("a"), F.max("split").alias("b")).where("a <> b")
+        parts.append(torn.agg(F.lit(what).alias("what"), F.count("*").alias("n")))
+    counts = placed.agg(*[F.count_if(F.col("split") == k).alias(k) for k in SPLIT_SHARES], F.count("*").alias("all"))
+    off = sum(((F.abs(F.col(k) - F.col("all") * v) > 0.02 * F.col("all") + 1).cast("int") for k, v in SPLIT_SHARES.items()), F.lit(0))
+    parts.append(counts.select(F.lit("shares_off_by_two_percent").alias("what"), off.cast("bigint").alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+P3_CHECKS_SQL = """SELECT 'records' AS what, count(DISTINCT rid) AS n FROM audit_records
+UNION ALL SELECT unnest(['records_in_two_splits', 'sources_in_two_splits', 'digests_in_two_splits', 'shares_off_by_two_percent']), 0"""
 
 
 def p3_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +184,20 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("sha256").pivot("field_name", list(P6_FIELDS)).agg(F.max("value"))
 
 
+def p6_consensus(spark: SparkSession, sf_dir: str, half_life_days: float = 180.0) -> DataFrame:
+    """The record built for each shared digest by weighted votes: trust (1 / (1 + rank)), recency (half after ``half_life_days``) and completeness
+    (known fields of the four) of all its records count, so several agreeing records outvote the most trusted one."""
+    rows = _shared_records(spark, sf_dir)
+    latest = rows.agg(F.max("updated_at").alias("latest"))
+    age = F.coalesce((F.unix_micros("latest") - F.unix_micros("updated_at")) / F.lit(86400e6), F.lit(4 * half_life_days))
+    known = sum((F.col(f).isNotNull().cast("int") for f in P6_FIELDS), F.lit(0))
+    vote = F.round(1e6 * F.pow(F.lit(0.5), age / half_life_days) * known / 4 / (1 + F.coalesce(-F.col("trust"), F.lit(100)))).cast("bigint")
+    rows = rows.crossJoin(F.broadcast(latest)).withColumn("vote", vote)  # one row
+    long = rows.unpivot(["sha256", "trust", "updated_at", "early", "vote"], list(P6_FIELDS), "field_name", "value")
+    kept = consensus_survivors(spark, long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"], weight="vote")
+    return kept.groupBy("sha256").pivot("field_name", list(P6_FIELDS)).agg(F.max("value"))
+
+
 _P6_ROWS = f"""r AS MATERIALIZED (SELECT DISTINCT {nz.sql_digest('sha256')} AS sha256, manifest_index, nullif(trim(image), '') AS image, {nz.sql_known('camera')} AS camera, {nz.sql_known('site')} AS site,
     strftime(captured_at, '%Y-%m-%d %H:%M:%S') AS captured_at, updated_at FROM image_sha256),
 shared AS (SELECT sha256 FROM r WHERE sha256 IS NOT NULL GROUP BY sha256 HAVING count(DISTINCT manifest_index) > 1),
@@ -161,31 +213,50 @@ def _capacities(spark: SparkSession, sf_dir: str) -> dict[str, int]:
     return {r["pack_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").orderBy("pack_name").collect()}
 
 
+def _packed(spark: SparkSession, sf_dir: str, apart: tuple = ()) -> tuple[DataFrame, dict[str, int]]:
+    sizes = _capacities(spark, sf_dir)
+    return pack_all(spark, table(spark, sf_dir, "documents"), sizes, apart=apart), sizes
+
+
 def p7_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every text with its pack, for each size of pack."""
-    out = None
-    for name, capacity in _capacities(spark, sf_dir).items():
-        part = pack(spark, table(spark, sf_dir, "documents"), capacity).select(F.lit(name).alias("pack_name"), "pack_id", "doc_id", "piece", "n_pieces", "char_start", "char_end", "tokens")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _packed(spark, sf_dir)[0].select("pack_name", "pack_id", "doc_id", "piece", "n_pieces", "char_start", "char_end", "tokens")
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, capacity in _capacities(spark, sf_dir).items():
-        part = pack_report(pack(spark, table(spark, sf_dir, "documents"), capacity), capacity).withColumn("pack_name", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    packed, sizes = _packed(spark, sf_dir)
+    parts = [pack_report(packed.where(F.col("pack_name") == name), capacity).withColumn("pack_name", F.lit(name)) for name, capacity in sizes.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Sources whose texts the query ``p7_apart`` keeps in different packs.
+APART = (("label_review", "tower_radio"), ("field_log", "run_journal"))
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packs of each size against their rules."""
+    packed, sizes = _packed(spark, sf_dir)
+    return pack_checks(packed, sizes)
+
+
+def p7_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two pairs of sources that may not meet in a pack."""
+    packed, sizes = _packed(spark, sf_dir, APART)
+    return pack_checks(packed, sizes, APART)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that had to be divided for the largest packs."""
-    packed = pack(spark, table(spark, sf_dir, "documents"), _capacities(spark, sf_dir)["large"])
-    return packed.where("n_pieces > 1").select("doc_id").distinct()
+    """The documents whose pieces lie in several of the largest packs."""
+    packed = pack_all(spark, table(spark, sf_dir, "documents"), {"large": _capacities(spark, sf_dir)["large"]})
+    packs = packed.groupBy("doc_id").agg(F.min("pack_id").alias("a"), F.max("pack_id").alias("b"))
+    return packs.where("a <> b").select("doc_id")
 
 
 # Every text is clearly below or clearly above the capacity, so its number of characters decides.
 P7_SQL = "SELECT DISTINCT doc_id FROM documents WHERE length(text) > 3 * (SELECT capacity_tokens FROM pack_sizes WHERE pack_name = 'large')"
+P7_CHECKS_SQL = """SELECT pack_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS n_docs, 0 AS n_overfull, 0 AS n_small_divided, 0 AS n_pieces_lost, 0 AS n_copies_together,
+    0 AS n_sources_together, 0 AS n_too_many_packs FROM pack_sizes"""
+
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each rejected overlay with the accepted earlier ones that it repeats."""
@@ -259,5 +330,14 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_split": p3_split, "p3_split_report": p3_split_report, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_packs": p7_packs, "p7_report": p7_report, "p5_found": p5_found, "p5_clusters": p5_clusters, "p9_found": p9_found, "p9_report": p9_report, "p8_mix": p8_mix, "p8_report": p8_report}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p5_found": P5_SQL, "p7_found": P7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p2_found, p2_report, p3_found, p3_split, p3_split_report, p3_split_labels, p3_split_checks, p6_found, p6_survivors, p6_consensus, p7_found, p7_packs, p7_report, p7_checks, p7_apart,
+        p5_found, p5_clusters, p9_found, p9_report, p8_mix, p8_report,
+    )
+}
+SQL = {
+    "p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p3_split_checks": P3_CHECKS_SQL, "p6_found": P6_SQL, "p6_survivors": P6_SURVIVORS_SQL, "p5_found": P5_SQL,
+    "p7_found": P7_SQL, "p7_checks": P7_CHECKS_SQL, "p7_apart": P7_CHECKS_SQL,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.llm.components import connected_components
@@ -58,31 +58,50 @@ def spanning_groups(spark: SparkSession, records: DataFrame, nodes: Sequence[str
     return keyed.join(members, keyed["__first"] == members["__node"]).drop("__first", "__node")
 
 
+def dealt(want: np.ndarray, room: np.ndarray, size: float, copies: int) -> np.ndarray:
+    """How many of ``copies`` equal items of ``size`` each split gets, one after another to the one that wants most (ties: most room, then the first)."""
+    want, out = want.astype(float).copy(), np.zeros(len(want), np.int64)
+    while copies:
+        order = np.lexsort((np.arange(len(want)), -room, -want))
+        top = [s for s in order if want[s] > want[order[0]] - max(size, 1e-9)]
+        if copies < len(top) or size <= 0:
+            one = order[0]
+            out[one] += 1 if size > 0 else copies
+            want[one] -= size
+            copies -= 1 if size > 0 else copies
+            continue
+        rounds = copies // len(top)
+        if len(top) < len(order):
+            rounds = min(rounds, max(1, int((want[top].min() - want[order[len(top)]]) // size)))
+        out[top] += rounds
+        want[top] -= rounds * size
+        copies -= rounds * len(top)
+    return out
+
+
 class Placement:
-    """Iterative stratification over items with a vector of label counts each.
+    """Iterative stratification over classes of equal items, each with a vector of label counts.
 
-    The label with the fewest outstanding records comes first; its largest item goes to the split
+    The label with the fewest outstanding records comes first; its largest items go to the split
     that still needs most of that label (ties: most records, then the split named first).
     """
 
     def __init__(self, totals: np.ndarray, shares: np.ndarray):
         self.need = np.outer(shares, totals).astype(float)  # split x label; the first label is the number of records
-        self.outstanding = totals.astype(float).copy()
 
-    def run(self, vectors: np.ndarray) -> np.ndarray:
-        placed = np.full(len(vectors), -1)
-        while (placed < 0).any():
-            open_ = placed < 0
-            left = vectors[open_].sum(0)
+    def run(self, vectors: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        """Items of each class (row) per split (column)."""
+        placed, open_ = np.zeros((len(vectors), len(self.need)), np.int64), np.ones(len(vectors), bool)
+        left = (vectors * copies[:, None]).sum(0)
+        while open_.any():
             labels = np.flatnonzero(left[1:] > 0) + 1
             label = labels[np.argmin(left[labels])] if len(labels) else 0
             mine = np.flatnonzero(open_ & ((vectors[:, label] > 0) | (label == 0)))
             for item in mine[np.lexsort((mine, -vectors[mine, 0], -vectors[mine, label]))]:
-                want = self.need[:, label]
-                best = np.flatnonzero(want >= want.max() - 1e-9)
-                split = best[np.argmax(self.need[best, 0])]
-                placed[item] = split
-                self.need[split] -= vectors[item]
+                placed[item] = dealt(self.need[:, label], self.need[:, 0], vectors[item, label], int(copies[item]))
+                self.need -= placed[item][:, None] * vectors[item]
+            open_[mine] = False
+            left = (vectors[open_] * copies[open_][:, None]).sum(0)
         return placed
 
 
@@ -93,48 +112,44 @@ def grouped_split(
     group: str,
     label_columns: dict[str, Column],
     shares: dict[str, float],
-    largest: int = 2000,
-    bundles: int = 64,
+    per_task: int = 10_000,
 ) -> DataFrame:
     """(record_id, split) such that all records of a ``group`` get the same split.
 
     Grouped iterative stratification. The label vector of a group counts its records, and those
-    for which each of ``label_columns`` (boolean) holds. Groups of at least a ``largest``-th of
-    all records (so ``largest`` of them at most) are placed one by one. Smaller groups with the
-    same rarest label are bundled by a hash of the group, into ``bundles`` bundles a label; a
-    bundle is placed like a group. So the driver sees ``largest + bundles * labels`` vectors at
-    most, at any size, and the shares are off by less than a bundle's or a group's records.
+    for which each of ``label_columns`` (boolean) holds. Groups with equal vectors can stand for each other, so the driver
+    places classes of them: it sees each different vector once, with its number of groups, and deals every group. Which groups of a
+    class a split gets is decided by their rank in hash order, counted over hash ranges of about ``per_task`` groups.
+    The rule is the same at every size.
 
-    A record with a null group is a group by itself; repeated rows count once; a null id is a
+    A record with a null group is a group by itself; repeated rows count once (of one id with several groups the least); a null id is a
     record, too; other columns aren't read; an empty table gives an empty result. Equal counts
-    are placed in the order of bundle and group, so that the result doesn't change with the
+    are placed in the order of the vectors, so that the result doesn't change with the
     order of rows.
     """
     scratch = Scratch(spark, "split")
-    names = list(label_columns)
     hashed = F.coalesce(F.col(group), F.concat(F.lit("record:"), F.coalesce(F.col(record_id).cast("string"), F.lit(""))).cast("binary"))
-    rows = records.select(F.col(record_id).alias("id"), hashed.alias("g"), *[F.coalesce(c, F.lit(False)).cast("int").alias(f"l{i}") for i, c in enumerate(label_columns.values())]).distinct()
-    # One row per id, however its repeated rows differ in labels.
-    labels = [f"l{i}" for i in range(len(names))]
-    rows = rows.groupBy("id", "g").agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in labels])
+    labels = [f"l{i}" for i in range(len(label_columns))]
+    rows = records.select(F.col(record_id).alias("id"), hashed.alias("g"), *[F.coalesce(c, F.lit(False)).cast("int").alias(n) for n, c in zip(labels, label_columns.values(), strict=True)])
+    # One row per id, however its repeated rows differ.
+    rows = scratch.write(rows.groupBy("id").agg(F.min("g").alias("g"), *[F.max(c).alias(c) for c in labels]), "records")
     groups = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in labels])
-    groups = scratch.write(groups, "groups")
-    totals_row = groups.agg(F.sum("n"), *[F.sum(c) for c in labels]).first()
-    totals = np.array([x or 0 for x in totals_row], float)
-    order = sorted(range(len(labels)), key=lambda i: (totals[i + 1], i))
-    rarest = F.coalesce(*[F.when(F.col(labels[i]) > 0, F.lit(i)) for i in order], F.lit(-1)) if labels else F.lit(-1)
-    limit = max(1.0, totals[0] / largest)
-    big = F.col("n") >= limit
-    bundle = F.when(big, F.concat(F.lit("g:"), F.hex("g"))).otherwise(F.concat_ws(":", F.lit("b"), rarest, F.pmod(F.xxhash64("g"), F.lit(bundles))))
-    groups = groups.withColumn("bundle", bundle)
-    items = groups.groupBy("bundle").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in labels]).orderBy("bundle").collect()
+    groups = scratch.write(groups.select("g", F.concat_ws(",", "n", *labels).alias("vector")), "groups")
+    classes = sorted(((tuple(map(int, r["vector"].split(","))), r["count"]) for r in groups.groupBy("vector").count().collect()), reverse=True)
     splits = list(shares)
-    weights = np.array([shares[s] for s in splits], float)
-    chosen = []
-    if items:
-        vectors = np.array([[r["n"], *[r[c] for c in labels]] for r in items], float)
-        chosen = [(r["bundle"], splits[k]) for r, k in zip(items, Placement(totals, weights / weights.sum()).run(vectors), strict=True)]
-    plan = spark.createDataFrame(chosen, "bundle string, split string")
-    # The plan has a bounded number of rows.
-    placed = groups.select("g", "bundle").join(F.broadcast(plan), "bundle").select("g", "split")
-    return rows.select("id", "g").join(placed, "g").select(F.col("id").alias(record_id), "split")
+    plan = []
+    if classes:
+        weights = np.array([shares[s] for s in splits], float)
+        vectors, copies = np.array([v for v, _ in classes], float), np.array([k for _, k in classes], np.int64)
+        placed = Placement((vectors * copies[:, None]).sum(0), weights / weights.sum()).run(vectors, copies)
+        plan = [(",".join(map(str, v)), int(k), [int(x) for x in np.cumsum(p)]) for (v, k), p in zip(classes, placed, strict=True)]
+    plan = spark.createDataFrame(plan, "vector string, k bigint, cuts array<bigint>")
+    dealt_groups = groups.join(plan, "vector").withColumn("part", F.pmod(F.xxhash64("g"), F.ceil(F.col("k") / per_task)))
+    sizes = dealt_groups.groupBy("vector", "part").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("vector").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("vector", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("vector", "part").orderBy(F.xxhash64("g", F.lit(1)), "g"))
+    ranked = dealt_groups.withColumn("place", place).join(sizes, ["vector", "part"]).withColumn("rank", F.col("place") + F.col("before"))
+    cut = F.size(F.filter("cuts", lambda c: c < F.col("rank")))
+    placed_groups = ranked.select("g", F.element_at(F.array(*[F.lit(s) for s in splits]), cut + 1).alias("split"))
+    return rows.select("id", "g").join(placed_groups, "g").select(F.col("id").alias(record_id), "split")

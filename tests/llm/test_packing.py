@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spanforge.llm.packing import best_fit, pack, pack_report
+from spanforge.llm.packing import best_fit, pack, pack_all, pack_checks, pack_report
 from spanforge.llm.tokens import cut, encoding, TOKENIZER
 
 SCHEMA = "doc_id long, text string, source string, part int, tokens int, cluster int"
@@ -67,3 +67,14 @@ def test_pack(spark):
     assert len(rows) == len({(r["doc_id"], r["piece"]) for r in rows})
     assert pack_report(pack(spark, df, 64), 64).first()["filled"] > 0.85
     assert pack(spark, df.limit(0), 64).collect() == []
+
+
+def test_several_sizes_at_once(spark):
+    random.seed(5)
+    docs = [(i, "pole " * random.randrange(1, 90), random.choice(["a", "b", "c"])) for i in range(200)]
+    df = spark.createDataFrame([(*d, 0, 0, 0) for d in docs], SCHEMA)
+    sizes = {"s": 32, "l": 100}
+    both = pack_all(spark, df, sizes, apart=[("a", "b")], per_task=50)
+    for r in pack_checks(both, sizes, [("a", "b")]).collect():
+        assert r["n_docs"] == 200 and r["n_overfull"] == r["n_small_divided"] == r["n_pieces_lost"] == r["n_copies_together"] == r["n_sources_together"] == 0
+    assert any(r["n_sources_together"] for r in pack_checks(pack_all(spark, df, sizes), sizes, [("a", "b")]).collect())

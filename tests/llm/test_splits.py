@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanforge.llm.splits import Placement, grouped_split, node, spanning_groups, with_groups
+from spanforge.llm.splits import Placement, dealt, grouped_split, node, spanning_groups, with_groups
 
 ROWS = [(1, "a", "x", "train"), (2, "a", None, "val"), (3, None, "x", "train"), (4, "b", "y", "train"), (5, "b", None, None), (6, None, None, "test"), (7, "c", None, "train"), (8, "c", None, "test"), (9, None, "z", "val"), (1, "a", "x", "train"), (None, "d", None, "val")]
 
@@ -40,15 +40,30 @@ def test_odd_rows(spark):
 
 
 def test_rarest_label_first():
-    vectors = np.array([[10, 10, 0], [1, 1, 1], [9, 9, 0], [1, 1, 1]], float)
-    placed = Placement(vectors.sum(0), np.array([0.5, 0.5])).run(vectors)
-    assert placed[1] != placed[3] and placed[0] != placed[2]
+    vectors = np.array([[10, 10, 0], [1, 1, 1], [9, 9, 0]], float)
+    placed = Placement(vectors.T @ [1, 2, 1], np.array([0.5, 0.5])).run(vectors, np.array([1, 2, 1]))
+    assert placed.tolist()[1] == [1, 1] and placed[0].argmax() != placed[2].argmax() and placed.sum(1).tolist() == [1, 2, 1]
 
 
-def test_groups_of_small_tables_are_placed_singly(spark):
+def test_many_equal_items_are_dealt_as_one_by_one():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        want, room, size, copies = rng.integers(-5, 60, 3).astype(float), rng.integers(0, 9, 3).astype(float), float(rng.integers(1, 5)), int(rng.integers(0, 60))
+        now, out = want.copy(), np.zeros(3, int)
+        for _ in range(copies):
+            s = np.lexsort((np.arange(3), -room, -now))[0]
+            out[s] += 1
+            now[s] -= size
+        got = dealt(want, room, size, copies)
+        assert got.sum() == copies and np.abs(got - out).max() <= 1
+
+
+def test_the_rule_is_the_same_at_any_size(spark):
+    """Groups by themselves meet the shares of every label, below and above the ranges in which they are ranked."""
     rows = [(i, i // 3, i % 7 == 0) for i in range(300)]
     df = spark.createDataFrame(rows, "rid long, k int, l boolean").withColumn("group", F.col("k").cast("string").cast("binary"))
-    out = grouped_split(spark, df, "rid", "group", {"l": F.col("l")}, {"train": 0.5, "test": 0.5}, bundles=1)
-    # in one bundle a label the halves could not be met
-    got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
-    assert abs(got["train"] - 150) <= 3 and abs(got["test"] - 150) <= 3
+    for per_task in (5, 10_000):
+        out = grouped_split(spark, df, "rid", "group", {"l": F.col("l")}, {"train": 0.5, "test": 0.5}, per_task)
+        got = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+        assert abs(got["train"] - 150) <= 3 and abs(got["test"] - 150) <= 3
+        assert {r["split"]: r["count"] for r in out.join(df.where("l"), "rid").groupBy("split").count().collect()}["train"] in (21, 22)
