@@ -108,7 +108,7 @@ def p3_split_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = held.join(placed, "rid").groupBy("split").agg(*[F.sum(F.col(f"`{k}`")).alias(k) for k in labels])
     long = counts.unpivot("split", [F.col(f"`{k}`") for k in labels], "label", "n_records")
     whole = F.sum("n_records").over(Window.partitionBy("label"))  # three rows a label
-    return long.select("split", "label", "n_records", F.round(F.col("n_records") / whole, 6).alias("share"), wanted.alias("wanted_share"))
+    return long.select("split", "label", "n_records", F.round(F.try_divide(F.col("n_records"), whole), 6).alias("share"), wanted.alias("wanted_share"))
 
 
 def p3_split_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +189,8 @@ def p6_consensus(spark: SparkSession, sf_dir: str, half_life_days: float = 180.0
     (known fields of the four) of all its records count, so several agreeing records outvote the most trusted one."""
     rows = _shared_records(spark, sf_dir)
     latest = rows.agg(F.max("updated_at").alias("latest"))
-    age = F.coalesce((F.unix_micros("latest") - F.unix_micros("updated_at")) / F.lit(86400e6), F.lit(4 * half_life_days))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    age = F.coalesce((micros("latest") - micros("updated_at")) / F.lit(86400e6), F.lit(4 * half_life_days))
     known = sum((F.col(f).isNotNull().cast("int") for f in P6_FIELDS), F.lit(0))
     vote = F.round(1e6 * F.pow(F.lit(0.5), age / half_life_days) * known / 4 / (1 + F.coalesce(-F.col("trust"), F.lit(100)))).cast("bigint")
     rows = rows.crossJoin(F.broadcast(latest)).withColumn("vote", vote)  # one row

@@ -27,8 +27,11 @@ def corpus(n=500, seed=4):
 def test_text_forms():
     assert s.paragraphs("A<br><br>\nB\r\n\r\nC") == ["a", "b", "c"]
     assert s.paragraphs("Trá»\x8dng sá»\x91") == ["trong so"] and s.paragraphs("Straße đường") == ["strasse duong"]
-    assert s.word_items("birhc 12") == s.word_items("birch") == s.word_items("bireh") and s.word_items("b1rch f0rm") == s.word_items("blrch form")
-    assert s.word_items("(a note about the raven)") == set() and s.paragraphs("  \n\n ") == []
+    items = lambda *parts: s.paragraph_items(list(parts), s._Codes())
+    same = lambda a, b: items(a)[0].tolist() == items(b)[0].tolist()
+    assert same("birhc 12", "birch") and same("birch", "bireh") and same("b1rch f0rm", "blrch form") and not same("birch form", "form birch")
+    assert items("(a note about the raven)")[0].tolist() == [] and s.paragraphs("  \n\n ") == []
+    assert items("a fox", "", "a fox a fox. fox", "fox. a")[1].tolist() == [0, 2, 2, 5, 6] and items()[1].tolist() == [0]
 
 
 def test_learned_subjects(spark):
@@ -49,10 +52,16 @@ def test_learned_subjects(spark):
 
 
 def test_grown_rules(spark):
-    # neither word tells the class, both together do
-    kinds = {0: ([1, 2], [0]), 1: ([1], [1]), 2: ([2], [1])}
-    rows = [(i, 0, 9, *kinds.get(i % 10, ([0], [1]))) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, para int, size int, items array<int>, classes array<int>")
-    rules = s.mine_rules([(df, s._hand_labels(2))], 2, 3, 3, confidence=0.9, hint=0.3)
-    assert rules.grown.tolist() == [False, True, True]
-    assert rules.pair_code.tolist() == [1 * 3 + 2] and rules.pair_class.tolist() == [0]
+    # no word and no two tell the class, all three together do; and two others
+    together = [[1, 2, 3]] * 40 + [[1, 2]] * 25 + [[1, 3]] * 25 + [[2, 3]] * 25 + [[1]] * 12 + [[2]] * 12 + [[3]] * 12
+    rows = [(x, [0] if len(x) == 3 else [1]) for x in together] + [([4, 5], [0])] * 30 + [([4], [1])] * 30 + [([5], [1])] * 30 + [([0], [1])] * 400
+    df = spark.createDataFrame(rows, "items array<int>, classes array<int>")
+    rules = s.mine_rules(df, 2, 6, 0.001, confidence=0.9, hint=0.2, gain=0.02)
+    assert rules.grown.tolist() == [False, True, True, True, True, True] and len(rules.levels) == 2
+    two, three = rules.levels
+    assert two.codes[two.kind == 0].tolist() == [4 * 6 + 5] and three.kind.tolist() == [0]
+    assert rules.listed() >= {(1, 2, 3, 0), (4, 5, 0)} and rules.changed(rules) == 0 < rules.changed(s.Rules(2, 6, rules.item_class, rules.item_weight, rules.grown))
+    items = s.pa.array([[1, 2, 3], [1, 3], [4, 5], [], [1, 2, 3, 4, 5]], s.pa.list_(s.pa.int32()))
+    assert rules.evidence(*s._flat(items), 5)[1][:, 0].tolist() == [1, 0, 1, 0, 2]
+    # rules that are rare everywhere aren't rules
+    assert not s.mine_rules(df, 2, 6, 0.5, confidence=0.9, hint=0.2).levels
