@@ -338,29 +338,33 @@ def false_kinds(gt: Box, gc: np.ndarray, pred: Box, pc: np.ndarray, conf: np.nda
 def fold(rows: DataFrame, key: str, order: Sequence[str], kernel: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str) -> DataFrame:
     """``kernel`` over the rows of each ``key``, in ``order``; its tuples follow the key in ``schema``.
 
-    Keys are images, whose boxes are few. A null key is a key; an empty table gives an empty result.
+    Keys are images, whose boxes are few. A null key is a key; whole numbers keep all their digits beside it. An empty table gives an empty result.
     """
     names = rows.columns
+    none = F.lit("") if dict(rows.dtypes)[key] == "string" else F.lit(0)
+    # A null would turn a column of whole numbers into one of doubles.
+    keyed = rows.withColumn("_null", F.col(key).isNull()).withColumn(key, F.coalesce(F.col(key), none.cast(rows.schema[key].dataType)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         columns = [part.strip().split()[0] for part in schema.split(",")]
 
         def close(frame: pd.DataFrame) -> pd.DataFrame:
-            keys = frame[key].to_numpy()
+            keys, null = frame[key].to_numpy(), frame["_null"].to_numpy()
             arrays = {c: frame[c].to_numpy() for c in names}
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])])
             out = []
             for a, b in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-                k = keys[a]
+                k = None if null[a] else keys[a]
                 out += [(k, *t) for t in kernel({c: v[a:b] for c, v in arrays.items()})]
-            return pd.DataFrame(out, columns=columns)
+            made = pd.DataFrame(out, columns=columns)
+            made[columns[0]] = pd.Series([t[0] for t in out], dtype=object)
+            return made
 
         for batch in batches:
             if not len(batch):
                 continue
-            last = batch[key].iloc[-1]
-            same = (batch[key] == last).to_numpy()
+            same = ((batch[key] == batch[key].iloc[-1]) & (batch["_null"] == batch["_null"].iloc[-1])).to_numpy()
             cut = len(batch) - int(same[::-1].argmin() if not same.all() else len(batch))
             if cut:
                 yield close(pd.concat([*held, batch.iloc[:cut]], ignore_index=True))
@@ -369,4 +373,4 @@ def fold(rows: DataFrame, key: str, order: Sequence[str], kernel: Callable[[dict
         if held:
             yield close(pd.concat(held, ignore_index=True))
 
-    return rows.repartition(F.col(key)).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return keyed.repartition(F.col(key)).sortWithinPartitions("_null", key, *order).mapInPandas(run, schema)

@@ -53,12 +53,14 @@ def largest_remainder(sizes: dict[str, int], target: int, floor: int = 0) -> dic
 def stratified(df: DataFrame, stratum: str, key: str, wanted: dict[str, int], seed: str) -> DataFrame:
     """The wanted number of rows of each stratum in hash order, with their chance of being drawn.
 
-    A stratum may be very large: first rows beyond a cut of the hash that surely suffices are dropped.
+    A stratum may be very large: its rows are counted in 1024 cells of the hash, and those of the first cells that
+    together hold what is wanted are ranked. One row per stratum (and 1024 counts) is all that is broadcast.
     """
-    counts = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    want = F.coalesce(*[F.when(F.col(stratum) == k, F.lit(n)) for k, n in wanted.items()], F.lit(0))
-    rows = df.join(F.broadcast(counts), stratum).withColumn("_w", want)
-    slack = F.col("_w") + 20 * F.sqrt(F.col("_w")) + 50
-    rows = rows.where(fraction(F.concat(F.col(key).cast("string"), F.lit(seed))) * F.col("_n") <= slack)
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(fraction(F.concat(F.col(key).cast("string"), F.lit(seed))), key))
-    return rows.withColumn("_k", place).where("_k <= _w").withColumn("inclusion_probability", F.col("_w") / F.col("_n")).drop("_k", "_w", "_n")
+    part = fraction(F.concat(F.col(key).cast("string"), F.lit(seed)))
+    cells = df.groupBy(F.col(stratum).alias("_s"), F.floor(part * 1024).alias("_c")).agg(F.count("*").alias("_n"))
+    want = F.coalesce(*[F.when(F.col("_s") == k, F.lit(n)) for k, n in wanted.items()], F.lit(0))
+    run = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cells.withColumn("_before", F.coalesce(F.sum("_n").over(run), F.lit(0))).groupBy("_s").agg(F.sum("_n").alias("_n"), F.max(F.when(F.col("_before") < want, F.col("_c"))).alias("_last"))
+    rows = df.join(F.broadcast(cut.withColumn("_w", want)), F.col(stratum).eqNullSafe(F.col("_s"))).where(F.floor(part * 1024) <= F.col("_last"))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(part, key))
+    return rows.withColumn("_k", place).where("_k <= _w").withColumn("inclusion_probability", F.col("_w") / F.col("_n")).drop("_k", "_w", "_n", "_s", "_last")

@@ -89,15 +89,6 @@ def near_dup_vs_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.hamming_join(left, right, NEAR, BITS).select("candidate", "base", "base_split", "hamming")
 
 
-def strong_review_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs near by one of two hashes: strong if near by the first with a high cosine, else for review if the cosine is fair."""
-    a = _pairs(spark, sf_dir, REVIEW_NEAR).select("a", "b", "cosine", F.col("hamming").alias("h1"), F.lit(None).cast("int").alias("h2"))
-    b = _pairs(spark, sf_dir, REVIEW_NEAR, BITS).select("a", "b", "cosine", F.lit(None).cast("int").alias("h1"), F.col("hamming").alias("h2"))
-    both = a.unionByName(b).groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.max("h1").alias("h1"), F.max("h2").alias("h2"))
-    kind = F.when((F.col("h1") <= NEAR) & (F.col("cosine") >= STRONG_COSINE), "strong").when(F.col("cosine") >= REVIEW_COSINE, "review")
-    return both.withColumn("kind", kind).where("kind is not null").select("a", "b", "kind", F.round("cosine", 6).alias("cosine"))
-
-
 def leak_edges_of(rows: DataFrame) -> DataFrame:
     """(a, b, h1, h2, cosine, kind) of pairs of ``rows`` (vec_id, hash, second, embedding) that are near by one of two hashes.
 
@@ -118,8 +109,12 @@ def _leak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_edges_of(sign_hashes(spark, sf_dir, 0, BITS).join(second, "vec_id"))
 
 
+def strong_review_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leak_edges(spark, sf_dir).select("a", "b", "kind", F.round("cosine", 6).alias("cosine"))
+
+
 def leak_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``strong_review_edges``, but strong only if the second hash is near, too."""
+    """The edges with both distances."""
     return _leak_edges(spark, sf_dir).select("a", "b", "h1", "h2", "kind", F.round("cosine", 6).alias("cosine"))
 
 
@@ -169,7 +164,7 @@ def drop_later_or_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def external_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First the test vectors near a training vector go; then training vectors near a validation one, and validation ones near a test vector that is left."""
+    """First the test vectors near a training vector go; then the validation vectors near a test vector that is left."""
     rows = _pairs(spark, sf_dir).withColumn("sa", _split("a")).withColumn("sb", _split("b"))
     both = rows.select(F.col("a").alias("x"), F.col("sa").alias("sx"), F.col("b").alias("y"), F.col("sb").alias("sy"))
     both = both.unionByName(both.select(F.col("y").alias("x"), F.col("sy").alias("sx"), F.col("x").alias("y"), F.col("sx").alias("sy")))
@@ -214,6 +209,13 @@ reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON
 members AS (SELECT n AS vec_id, min(m) AS group_id FROM reach GROUP BY n)"""
 _SQL_SPLIT_PAIRS = f"(SELECT *, {_sql_split('a')} AS sa, {_sql_split('b')} AS sb FROM {_sql_pairs()})"
 
+_SQL_LEAK = f"""(SELECT a, b, h1, h2, cosine, CASE WHEN h1 <= {NEAR} AND h2 <= {SECOND_NEAR} AND cosine >= {STRONG_COSINE} THEN 'strong' ELSE 'review' END AS kind
+    FROM (SELECT x.vec_id AS a, y.vec_id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS h1, CAST(bit_count(xor(x2.hash, y2.hash)) AS INTEGER) AS h2, {_SQL_COS} AS cosine
+      FROM {sql_signs(0, BITS)} x JOIN {sql_signs(BITS, BITS)} x2 ON x2.vec_id = x.vec_id, {sql_signs(0, BITS)} y JOIN {sql_signs(BITS, BITS)} y2 ON y2.vec_id = y.vec_id
+      WHERE x.vec_id < y.vec_id AND (bit_count(xor(x.hash, y.hash)) <= {REVIEW_NEAR} OR bit_count(xor(x2.hash, y2.hash)) <= {REVIEW_NEAR}))
+    WHERE (h1 <= {NEAR} AND h2 <= {SECOND_NEAR} AND cosine >= {STRONG_COSINE}) OR cosine >= {REVIEW_COSINE})"""
+_SQL_LEAK_MEMBERS = _SQL_MEMBERS.replace(_sql_pairs(), f"(SELECT a, b FROM {_SQL_LEAK} WHERE kind = 'strong')")
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -238,9 +240,11 @@ SQL = {
     "near_dup_vs_reference": f"""WITH v AS MATERIALIZED (SELECT *, {_sql_split('vec_id')} AS split FROM {sql_signs(0, BITS)})
         SELECT x.vec_id AS candidate, y.vec_id AS base, y.split AS base_split, CAST(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS hamming FROM v x JOIN v y ON bit_count(xor(x.hash, y.hash)) <= {NEAR}
         WHERE x.split = 'train' AND y.split <> 'train'""",
-    "strong_review_edges": f"""SELECT a, b, CASE WHEN h1 <= {NEAR} AND cosine >= {STRONG_COSINE} THEN 'strong' ELSE 'review' END AS kind, round(cosine, 6) AS cosine
-        FROM (SELECT a, b, max(cosine) AS cosine, max(h1) AS h1 FROM (SELECT a, b, cosine, hamming AS h1 FROM {_sql_pairs(REVIEW_NEAR)} UNION ALL SELECT a, b, cosine, NULL FROM {_sql_pairs(REVIEW_NEAR, BITS)}) GROUP BY a, b)
-        WHERE (h1 <= {NEAR} AND cosine >= {STRONG_COSINE}) OR cosine >= {REVIEW_COSINE}""",
+    "strong_review_edges": f"SELECT a, b, kind, round(cosine, 6) AS cosine FROM {_SQL_LEAK}",
+    "leak_edges": f"SELECT a, b, h1, h2, kind, round(cosine, 6) AS cosine FROM {_SQL_LEAK}",
+    "leak_components": f"{_SQL_LEAK_MEMBERS} SELECT * FROM members",
+    "leak_quarantine": f"""{_SQL_LEAK_MEMBERS}, s AS (SELECT *, {_sql_split('vec_id')} AS split FROM members)
+        SELECT vec_id, group_id, split FROM s WHERE split <> 'test' AND group_id IN (SELECT group_id FROM s WHERE split = 'test')""",
     "dup_components": f"{_SQL_MEMBERS} SELECT * FROM members",
     "quarantine_test_touching": f"""{_SQL_MEMBERS}, s AS (SELECT *, {_sql_split('vec_id')} AS split FROM members)
         SELECT vec_id, group_id, split FROM s WHERE split <> 'test' AND group_id IN (SELECT group_id FROM s WHERE split = 'test')""",

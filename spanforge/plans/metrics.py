@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanforge.plans import duplicates
-from spanforge.plans.boxes import _masked, _matched, masked_matches, sql_matched
+from spanforge.plans.boxes import _masked, masked_matches, sql_masked
 from spanforge.sources.fixtures import SQL_GT, gt_boxes, pred_boxes
 from spanforge.sources.tables import table
 
@@ -74,60 +74,78 @@ def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SQL_TOTALS = f"(SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls)"
 
 
-# The queries of these names match without masking, as their SQL does; the ones with _masked beside them mask used labels.
+STEPS = tuple(range(50, 100, 5))
 
 
-def ap101(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
-    return average_precision(match(spark, sf_dir), _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
+def ap101(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return average_precision(_masked(spark, sf_dir), _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
+
+
+def profile(spark: SparkSession, sf_dir: str, model: int = 0) -> DataFrame:
+    """Per class AP at 0.5, its mean over the ten thresholds to 0.95, and AP at 0.75, 0.9 and 0.95: one join of the pairs for all."""
+    at = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in STEPS]).alias("step"), F.col("tp").alias("tp"))).alias("x")
+    rows = masked_matches(pred_boxes(spark, sf_dir, model), gt_boxes(spark, sf_dir), tuple(t / 100 for t in STEPS)).select("cls", "conf", at).select("cls", "conf", F.col("x.step").alias("step"), F.col("x.tp").alias("tp"))
+    totals = _totals(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(t) for t in STEPS])).alias("step"))
+    ap = average_precision(rows, totals, ["cls", "step"])
+    named = {f"ap{t}": F.max(F.when(F.col("step") == t, F.col("ap"))) for t in (50, 75, 90, 95)}
+    return ap.groupBy("cls").agg(F.avg("ap").alias("ap50_95"), *[c.alias(k) for k, c in named.items()])
 
 
 def strict_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AP at 0.5, 0.75 and 0.9, and the gap between the first two."""
+    """The profile of model 0, with the gap between AP50 and AP50_95."""
+    wide = profile(spark, sf_dir)
+    return wide.select("cls", *[F.round(c, 6).alias(c) for c in ("ap50", "ap50_95", "ap75", "ap90", "ap95")], F.round(F.col("ap50") - F.col("ap50_95"), 6).alias("gap"))
+
+
+def ap50_95(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mAP50 and mAP50-95 of four models, and MEAN_5 (classes from 1 on; one without labels counts as 0)."""
     out = None
-    for t in (0.5, 0.75, 0.9):
-        one = average_precision(_matched(spark, sf_dir, t), _totals(spark, sf_dir), ["cls"]).select("cls", F.lit(f"ap{int(t * 100)}").alias("name"), "ap")
+    for model in range(4):
+        one = profile(spark, sf_dir, model).agg(F.avg("ap50").alias("a"), F.avg("ap50_95").alias("b"), (F.sum(F.when(F.col("cls") >= 1, F.col("ap50"))) / 5).alias("c"))
+        one = one.select(F.lit(model).alias("model"), F.round("a", 6).alias("map50"), F.round("b", 6).alias("map50_95"), F.round("c", 6).alias("mean5"))
         out = one if out is None else out.unionByName(one)
-    wide = out.groupBy("cls").pivot("name", ["ap50", "ap75", "ap90"]).agg(F.max("ap"))
-    return wide.select("cls", *[F.round(c, 6).alias(c) for c in ("ap50", "ap75", "ap90")], F.round(F.col("ap50") - F.col("ap75"), 6).alias("gap"))
+    return out
 
 
-def strict_profile_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AP at 0.5, its mean over the ten thresholds to 0.95, the gap between these, and AP at 0.75, 0.9 and 0.95: one join of the pairs for all."""
-    steps = range(50, 100, 5)
-    pred, gt = pred_boxes(spark, sf_dir), gt_boxes(spark, sf_dir)
-    at = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in steps]).alias("step"), F.col("tp").alias("tp"))).alias("x")
-    rows = masked_matches(pred, gt, tuple(t / 100 for t in steps)).select("cls", "conf", at).select("cls", "conf", F.col("x.step").alias("step"), F.col("x.tp").alias("tp"))
-    totals = _totals(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(t) for t in steps])).alias("step"))
-    ap = average_precision(rows, totals, ["cls", "step"])
-    named = {f"ap{t}": F.max(F.when(F.col("step") == t, F.col("ap"))) for t in (50, 75, 90, 95)}
-    wide = ap.groupBy("cls").agg(F.avg("ap").alias("ap50_95"), *[c.alias(k) for k, c in named.items()])
-    return wide.select("cls", F.round("ap50", 6).alias("ap50"), F.round("ap50_95", 6).alias("ap50_95"), F.round(F.col("ap50") - F.col("ap50_95"), 6).alias("gap"), *[F.round(c, 6).alias(c) for c in ("ap75", "ap90", "ap95")])
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per class, and for all (class null), AP50 and AP50_95 of a base model and a candidate."""
+    base, new = (profile(spark, sf_dir, m).select("cls", F.col("ap50").alias(f"{p}_ap50"), F.col("ap50_95").alias(f"{p}_ap50_95")) for m, p in ((0, "base"), (1, "new")))
+    rows = base.join(new, "cls")
+    names = [c for c in rows.columns if c != "cls"]
+    return rows.rollup("cls").agg(*[F.avg(c).alias(c) for c in names])
 
 
-def mean5_gate(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
-    """MEAN_5 of two models and whether the second may replace the first."""
-    out = None
-    for model in (0, 1):
-        ap = average_precision(match(spark, sf_dir, model=model), _totals(spark, sf_dir), ["cls"])
-        one = ap.agg((F.sum(F.when(F.col("cls") >= 1, F.col("ap"))) / 5).alias("mean5"), F.avg("ap").alias("map"), F.max(F.when(F.col("cls") == 4, F.col("ap"))).alias("ap4")).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    wide = out.groupBy().agg(*[F.max(F.when(F.col("model") == k, F.col(c))).alias(f"{c}_{k}") for c in ("mean5", "map", "ap4") for k in (0, 1)])
-    passed = (F.col("mean5_1") >= F.col("mean5_0") + 0.01) & (F.col("map_1") >= F.col("map_0") - 0.01) & (F.col("ap4_1") >= F.col("ap4_0") + 0.01)
-    return wide.select(F.round("mean5_0", 6).alias("mean5_base"), F.round("mean5_1", 6).alias("mean5_candidate"), F.round(F.col("mean5_1") - F.col("mean5_0"), 6).alias("gain"), passed.alias("candidate_pass"))
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate beside the base, per class and for all, with differences to four digits."""
+    rows = _compared(spark, sf_dir)
+    shown = [F.round(c, 4).alias(c) for c in rows.columns if c != "cls"]
+    return rows.select(F.coalesce(F.col("cls").cast("string"), F.lit("ALL")).alias("class"), *shown, *[F.round(F.col(f"new_{c}") - F.col(f"base_{c}"), 4).alias(f"d_{c}") for c in ("ap50", "ap50_95")])
+
 
+def mean5_gate(spark: SparkSession, sf_dir: str, regression: float = 0.01, foreign: float = 0.02, foreign_strict: float = 0.01, strand_strict: float = 0.01) -> DataFrame:
+    """May the candidate replace the base? Four inequalities: mAP50-95 hardly worse, AP50 and AP50-95 of class 4 and AP50-95 of class 5 better. A missing class counts as 0."""
+    rows = _compared(spark, sf_dir)
+    v = lambda c, k=None: F.coalesce(F.max(F.when(F.col("cls").isNull() if k is None else F.col("cls") == k, F.col(c))), F.lit(0.0))
+    one = rows.agg(
+        (v("new_ap50_95") >= v("base_ap50_95") - regression).alias("global_holds"), (v("new_ap50", 4) >= v("base_ap50", 4) + foreign).alias("foreign_ap50_gains"),
+        (v("new_ap50_95", 4) >= v("base_ap50_95", 4) + foreign_strict).alias("foreign_ap50_95_gains"), (v("new_ap50_95", 5) >= v("base_ap50_95", 5) + strand_strict).alias("strand_ap50_95_gains"),
+    )
+    return one.withColumn("candidate_pass", F.col("global_holds") & F.col("foreign_ap50_gains") & F.col("foreign_ap50_95_gains") & F.col("strand_ap50_95_gains"))
 
-def two_tier_gate(spark: SparkSession, sf_dir: str, tau: float = 0.9, match: Callable = _matched) -> DataFrame:
-    """A small model flags images with a defect; only those get the boxes of the large one."""
-    flagged = match(spark, sf_dir, model=0).where((F.col("cls") >= 1) & (F.col("conf") >= tau)).select("image").distinct()
-    system = match(spark, sf_dir, model=1).join(flagged, "image", "left_semi")
+
+def two_tier_gate(spark: SparkSession, sf_dir: str, tau: float = 0.9) -> DataFrame:
+    """A small model flags images with a defect; only those get the boxes of a large one, and those of class 4 from a second large one."""
+    flagged = _masked(spark, sf_dir, model=0).where((F.col("cls") >= 1) & (F.col("conf") >= tau)).select("image").distinct()
+    served = _masked(spark, sf_dir, model=1).where("cls <> 4").unionByName(_masked(spark, sf_dir, model=2).where("cls = 4"))
+    system = served.join(flagged, "image", "left_semi")
     return average_precision(system, _totals(spark, sf_dir), ["cls"]).select("cls", F.round("ap", 6).alias("ap50"))
 
 
-def tau_sweep(spark: SparkSession, sf_dir: str, match: Callable = _matched) -> DataFrame:
+def tau_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per threshold of the flag: share of images sent on, and MEAN_5."""
-    flags = match(spark, sf_dir, model=0).where("cls >= 1").groupBy("image").agg(F.max("conf").alias("top"))
+    flags = _masked(spark, sf_dir, model=0).where("cls >= 1").groupBy("image").agg(F.max("conf").alias("top"))
     taus = F.explode(F.array(*[F.lit(t) for t in TAUS])).alias("tau")
-    system = match(spark, sf_dir, model=1).join(flags, "image").select("*", taus).where("top >= tau")
+    system = _masked(spark, sf_dir, model=1).join(flags, "image").select("*", taus).where("top >= tau")
     totals = _totals(spark, sf_dir).select("*", taus)
     mean = average_precision(system, totals, ["tau", "cls"]).groupBy("tau").agg((F.sum(F.when(F.col("cls") >= 1, F.col("ap"))) / 5).alias("mean5"))
     images = gt_boxes(spark, sf_dir).agg(F.countDistinct("image").alias("n"))
@@ -162,31 +180,21 @@ def _fraction(text: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("double") / F.lit(281474976710656.0)
 
 
-def bootstrap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AP per class over resamples of the images: mean and 95 % limits. Matches are made once, then weighted."""
+def bootstrap_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP per class of the first 20 weighted resamples of the images (digest weights, for the check in SQL; intervals come from ``bootstrap_intervals``)."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("rep")
     weight = _poisson(_fraction(F.concat_ws(":", F.col("image").cast("string"), F.col("rep").cast("string"))))
-    matched = _matched(spark, sf_dir).select("*", reps).withColumn("w", weight.cast("double"))
+    matched = _masked(spark, sf_dir).select("*", reps).withColumn("w", weight.cast("double"))
     totals = gt_boxes(spark, sf_dir).groupBy("image", "cls").agg(F.count("*").alias("n")).select("*", reps).groupBy("rep", "cls").agg(F.sum(F.col("n") * weight).alias("npos"))
-    ap = average_precision(matched, totals, ["rep", "cls"], F.col("w"))
-    q = lambda p: F.round(F.percentile("ap", p), 6)
-    return ap.groupBy("cls").agg(F.round(F.avg("ap"), 6).alias("mean_ap"), q(0.025).alias("low"), q(0.975).alias("high"))
-
-
-def ap101_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ap101(spark, sf_dir, _masked)
-
-
-def mean5_gate_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mean5_gate(spark, sf_dir, _masked)
-
+    return average_precision(matched, totals, ["rep", "cls"], F.col("w")).select("rep", "cls", F.round("ap", 6).alias("ap50"))
 
-def two_tier_gate_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_tier_gate(spark, sf_dir, match=_masked)
 
-
-def tau_sweep_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tau_sweep(spark, sf_dir, _masked)
+def bootstrap_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AP per class over 1000 resamples of the images: mean and 95 % limits. Matches are made once, then weighted."""
+    matched = _masked(spark, sf_dir).select("cls", "conf", "tp", F.lit(0).alias("model"), F.col("image").cast("bigint").alias("unit"))
+    ap = bootstrap_ap(matched, gt_boxes(spark, sf_dir).select("cls", F.col("image").cast("bigint").alias("unit"))).where("round > 0")
+    q = lambda p: F.round(F.percentile("ap", p), 6)  # noqa: E731 - 1000 values a class
+    return ap.groupBy("cls").agg(F.round(F.avg("ap"), 6).alias("mean_ap"), q(0.025).alias("low"), q(0.975).alias("high"), F.count("*").alias("rounds"))
 
 
 _CUTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
@@ -327,7 +335,7 @@ def bootstrap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def precision_at_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greatest recall, and the best precision at a recall of at least 0.3."""
     run = Window.partitionBy("cls").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = _matched(spark, sf_dir).groupBy("cls", "conf").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
+    steps = _masked(spark, sf_dir).groupBy("cls", "conf").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
     curve = steps.withColumn("ct", F.sum("t").over(run)).withColumn("cn", F.sum("n").over(run)).join(_totals(spark, sf_dir), "cls")
     return curve.groupBy("cls").agg(F.round(F.max(F.col("ct") / F.col("npos")), 6).alias("max_recall"), F.round(F.max(F.when(F.col("ct") / F.col("npos") >= 0.3, F.col("ct") / F.col("cn"))), 6).alias("precision"))
 
@@ -337,7 +345,7 @@ def rescored_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = (F.col("image") * 31 + F.col("idx")) % 97 / 97
     out = None
     for name, conf in (("product", F.col("conf") * p), ("root", F.col("conf") * F.sqrt(p)), ("plain", F.col("conf"))):
-        ap = average_precision(_matched(spark, sf_dir).withColumn("conf", F.round(conf, 9)), _totals(spark, sf_dir), ["cls"]).select(F.lit(name).alias("rule"), "cls", F.round("ap", 6).alias("ap50"))
+        ap = average_precision(_masked(spark, sf_dir).withColumn("conf", F.round(conf, 9)), _totals(spark, sf_dir), ["cls"]).select(F.lit(name).alias("rule"), "cls", F.round("ap", 6).alias("ap50"))
         out = ap if out is None else out.unionByName(ap)
     return out
 
@@ -377,7 +385,7 @@ def spearman_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the confidence tells hits from false alarms, from the sums of ranks; and average precision of that."""
-    counts = _matched(spark, sf_dir).groupBy("conf").agg(F.sum("tp").alias("p"), F.count("*").alias("n"))
+    counts = _masked(spark, sf_dir).groupBy("conf").agg(F.sum("tp").alias("p"), F.count("*").alias("n"))
     run = Window.orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
     whole = counts.agg(F.sum("p").alias("pos"), (F.sum("n") - F.sum("p")).alias("neg"))
     curve = counts.withColumn("cp", F.sum("p").over(run)).withColumn("cn", F.sum("n").over(run)).crossJoin(F.broadcast(whole))
@@ -406,35 +414,47 @@ def linear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ap101, strict_profile, mean5_gate, two_tier_gate, tau_sweep, bootstrap_map, precision_at_recall, rescored_ap, config_winner, best_epoch, spearman_scores, auroc, histogram_nll, linear_fit,
-        ap101_masked, strict_profile_masked, mean5_gate_masked, two_tier_gate_masked, tau_sweep_masked, bootstrap_intervals, bootstrap_clusters,
+        ap101, strict_profile, ap50_95, comparison_table, mean5_gate, two_tier_gate, tau_sweep, bootstrap_rounds, bootstrap_map, precision_at_recall, rescored_ap, config_winner, best_epoch, spearman_scores, auroc, histogram_nll, linear_fit,
+        bootstrap_intervals, bootstrap_clusters,
     )
 }
 
-_MODELS = "SELECT *, 0 AS model FROM " + sql_ap(sql_matched(), _SQL_TOTALS, "cls") + " UNION ALL SELECT *, 1 FROM " + sql_ap(sql_matched(0.5, 1), _SQL_TOTALS, "cls")
-_WIDE = "SELECT model, sum(ap) FILTER (cls >= 1) / 5 AS mean5, avg(ap) AS map, max(ap) FILTER (cls = 4) AS ap4 FROM (" + _MODELS + ") GROUP BY model"
+_TS = tuple(t / 100 for t in STEPS)
+_STEP_TOTALS = f"(SELECT * FROM {_SQL_TOTALS}, (SELECT CAST(unnest([{', '.join(map(str, _TS))}]) AS DOUBLE) AS thr))"
+
+
+def _sql_profile(model: int = 0) -> str:
+    named = ", ".join(f"max(ap) FILTER (thr = {t / 100}) AS ap{t}" for t in (50, 75, 90, 95))
+    return f"(SELECT cls, avg(ap) AS ap50_95, {named} FROM {sql_ap(sql_masked(0.5, model, _TS), _STEP_TOTALS, 'cls, thr')} GROUP BY cls)"
+
+
+_COMPARED = f"""(WITH j AS MATERIALIZED (SELECT a.cls, a.ap50 AS base_ap50, a.ap50_95 AS base_ap50_95, b.ap50 AS new_ap50, b.ap50_95 AS new_ap50_95 FROM {_sql_profile(0)} a JOIN {_sql_profile(1)} b USING (cls))
+    SELECT * FROM j UNION ALL SELECT NULL, avg(base_ap50), avg(base_ap50_95), avg(new_ap50), avg(new_ap50_95) FROM j)"""
 _FRACTION = "CAST(CAST('0x' || substr(sha256(CAST(image AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
 _TAU_LIST = "(SELECT CAST(unnest([" + ", ".join(map(str, TAUS)) + "]) AS DOUBLE) AS tau)"
-_FLAGS = f"(SELECT image, max(conf) AS top FROM {sql_matched()} WHERE cls >= 1 GROUP BY image)"
-_STRICT = " JOIN ".join(f"(SELECT cls, ap AS ap{int(t * 100)} FROM {sql_ap(sql_matched(t), _SQL_TOTALS, 'cls')})" + (" USING (cls)" if i else "") for i, t in enumerate((0.5, 0.75, 0.9)))
+_FLAGS = f"(SELECT image, max(conf) AS top FROM {sql_masked()} WHERE cls >= 1 GROUP BY image)"
 _P = "((image * 31 + idx) % 97 / 97)"
 
 SQL = {
-    "ap101": f"SELECT cls, round(ap, 6) AS ap50 FROM {sql_ap(sql_matched(), _SQL_TOTALS, 'cls')}",
-    "strict_profile": f"SELECT cls, round(ap50, 6) AS ap50, round(ap75, 6) AS ap75, round(ap90, 6) AS ap90, round(ap50 - ap75, 6) AS gap FROM {_STRICT}",
-    "mean5_gate": f"""WITH m AS ({_WIDE}) SELECT round(a.mean5, 6) AS mean5_base, round(b.mean5, 6) AS mean5_candidate, round(b.mean5 - a.mean5, 6) AS gain, b.mean5 >= a.mean5 + 0.01 AND b.map >= a.map - 0.01 AND b.ap4 >= a.ap4 + 0.01 AS candidate_pass
-        FROM m a, m b WHERE a.model = 0 AND b.model = 1""",
-    "two_tier_gate": f"""WITH f AS MATERIALIZED (SELECT DISTINCT image FROM {sql_matched()} WHERE cls >= 1 AND conf >= 0.9), s AS MATERIALIZED (SELECT * FROM {sql_matched(0.5, 1)} WHERE image IN (SELECT image FROM f))
+    "ap101": f"SELECT cls, round(ap, 6) AS ap50 FROM {sql_ap(sql_masked(), _SQL_TOTALS, 'cls')}",
+    "strict_profile": f"SELECT cls, round(ap50, 6) AS ap50, round(ap50_95, 6) AS ap50_95, round(ap75, 6) AS ap75, round(ap90, 6) AS ap90, round(ap95, 6) AS ap95, round(ap50 - ap50_95, 6) AS gap FROM {_sql_profile()}",
+    "ap50_95": " UNION ALL ".join(f"SELECT {m} AS model, round(avg(ap50), 6) AS map50, round(avg(ap50_95), 6) AS map50_95, round(sum(ap50) FILTER (cls >= 1) / 5, 6) AS mean5 FROM {_sql_profile(m)}" for m in range(4)),
+    "comparison_table": f"""SELECT coalesce(CAST(cls AS VARCHAR), 'ALL') AS class, round(base_ap50, 4) AS base_ap50, round(base_ap50_95, 4) AS base_ap50_95, round(new_ap50, 4) AS new_ap50, round(new_ap50_95, 4) AS new_ap50_95,
+        round(new_ap50 - base_ap50, 4) AS d_ap50, round(new_ap50_95 - base_ap50_95, 4) AS d_ap50_95 FROM {_COMPARED}""",
+    "mean5_gate": f"""WITH c AS MATERIALIZED (SELECT * FROM {_COMPARED}), g AS (SELECT bool_and(new_ap50_95 >= base_ap50_95 - 0.01) FILTER (cls IS NULL) AS global_holds, bool_and(new_ap50 >= base_ap50 + 0.02) FILTER (cls = 4) AS foreign_ap50_gains,
+        bool_and(new_ap50_95 >= base_ap50_95 + 0.01) FILTER (cls = 4) AS foreign_ap50_95_gains, bool_and(new_ap50_95 >= base_ap50_95 + 0.01) FILTER (cls = 5) AS strand_ap50_95_gains FROM c)
+        SELECT *, global_holds AND foreign_ap50_gains AND foreign_ap50_95_gains AND strand_ap50_95_gains AS candidate_pass FROM g""",
+    "two_tier_gate": f"""WITH f AS MATERIALIZED (SELECT DISTINCT image FROM {sql_masked()} WHERE cls >= 1 AND conf >= 0.9), s AS MATERIALIZED (SELECT * FROM (SELECT * FROM {sql_masked(0.5, 1)} WHERE cls <> 4 UNION ALL SELECT * FROM {sql_masked(0.5, 2)} WHERE cls = 4) WHERE image IN (SELECT image FROM f))
         SELECT cls, round(ap, 6) AS ap50 FROM {sql_ap('s', _SQL_TOTALS, 'cls')}""",
-    "tau_sweep": f"""WITH f AS MATERIALIZED (SELECT * FROM {_FLAGS}), s AS MATERIALIZED (SELECT m.*, tau FROM {sql_matched(0.5, 1)} m JOIN f USING (image), {_TAU_LIST} WHERE top >= tau), t AS MATERIALIZED (SELECT * FROM {_SQL_TOTALS}, {_TAU_LIST})
+    "tau_sweep": f"""WITH f AS MATERIALIZED (SELECT * FROM {_FLAGS}), s AS MATERIALIZED (SELECT m.*, tau FROM {sql_masked(0.5, 1)} m JOIN f USING (image), {_TAU_LIST} WHERE top >= tau), t AS MATERIALIZED (SELECT * FROM {_SQL_TOTALS}, {_TAU_LIST})
         SELECT tau, round((SELECT count(*) FROM f WHERE top >= a.tau) / (SELECT count(DISTINCT l_orderkey) FROM lineitem), 6) AS sent, round(sum(ap) FILTER (cls >= 1) / 5, 6) AS mean5 FROM {sql_ap('s', 't', 'tau, cls')} a GROUP BY tau""",
-    "bootstrap_map": f"""WITH m AS MATERIALIZED (SELECT *, CAST({_sql_poisson('u')} AS DOUBLE) AS w FROM (SELECT *, {_FRACTION} AS u FROM {sql_matched()}, range(0, {REPLICATES}) r(rep))),
+    "bootstrap_rounds": f"""WITH m AS MATERIALIZED (SELECT *, CAST({_sql_poisson('u')} AS DOUBLE) AS w FROM (SELECT *, {_FRACTION} AS u FROM {sql_masked()}, range(0, {REPLICATES}) r(rep))),
         t AS MATERIALIZED (SELECT rep, cls, sum({_sql_poisson('u')}) AS npos FROM (SELECT *, {_FRACTION} AS u FROM {SQL_GT}, range(0, {REPLICATES}) r(rep)) GROUP BY rep, cls)
-        SELECT cls, round(avg(ap), 6) AS mean_ap, round(quantile_cont(ap, 0.025), 6) AS low, round(quantile_cont(ap, 0.975), 6) AS high FROM {sql_ap('m', 't', 'rep, cls', 'w')} GROUP BY cls""",
-    "precision_at_recall": f"""WITH c AS (SELECT cls, sum(t) OVER w AS ct, sum(n) OVER w AS cn, npos FROM (SELECT cls, conf, sum(tp) AS t, count(*) AS n FROM {sql_matched()} GROUP BY cls, conf) JOIN {_SQL_TOTALS} USING (cls) WINDOW w AS (PARTITION BY cls ORDER BY conf DESC ROWS UNBOUNDED PRECEDING))
+        SELECT rep, cls, round(ap, 6) AS ap50 FROM {sql_ap('m', 't', 'rep, cls', 'w')}""",
+    "precision_at_recall": f"""WITH c AS (SELECT cls, sum(t) OVER w AS ct, sum(n) OVER w AS cn, npos FROM (SELECT cls, conf, sum(tp) AS t, count(*) AS n FROM {sql_masked()} GROUP BY cls, conf) JOIN {_SQL_TOTALS} USING (cls) WINDOW w AS (PARTITION BY cls ORDER BY conf DESC ROWS UNBOUNDED PRECEDING))
         SELECT cls, round(max(ct / npos), 6) AS max_recall, round(max(ct / cn) FILTER (ct / npos >= 0.3), 6) AS precision FROM c GROUP BY cls""",
     "rescored_ap": " UNION ALL ".join(
-        f"SELECT '{name}' AS rule, cls, round(ap, 6) AS ap50 FROM {sql_ap(f'(SELECT image, idx, cls, tp, round({conf}, 9) AS conf FROM {sql_matched()})', _SQL_TOTALS, 'cls')}" for name, conf in (("product", f"conf * {_P}"), ("root", f"conf * sqrt({_P})"), ("plain", "conf"))
+        f"SELECT '{name}' AS rule, cls, round(ap, 6) AS ap50 FROM {sql_ap(f'(SELECT image, idx, cls, tp, round({conf}, 9) AS conf FROM {sql_masked()})', _SQL_TOTALS, 'cls')}" for name, conf in (("product", f"conf * {_P}"), ("root", f"conf * sqrt({_P})"), ("plain", "conf"))
     ),
     "config_winner": "SELECT part, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM (SELECT *, o_custkey % 10 AS part, row_number() OVER (PARTITION BY o_custkey % 10 ORDER BY o_totalprice DESC, o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1",
     "best_epoch": """WITH r AS (SELECT o_orderpriority, o_custkey % 50 AS run, floor(o_totalprice / 20000) AS metric, CAST(row_number() OVER (PARTITION BY o_orderpriority, o_custkey % 50 ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS epoch FROM orders),
@@ -443,7 +463,7 @@ SQL = {
     "spearman_scores": """WITH r AS (SELECT CAST(l_quantity AS INTEGER) AS a, CAST(round(l_discount * 100) AS INTEGER) AS b, CAST(round(l_tax * 100) AS INTEGER) AS c FROM lineitem),
         k AS (SELECT """ + ", ".join(f"rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS r{x}" for x in "abc") + """ FROM r)
         SELECT round(corr(ra, rb), 6) AS rho_ab, round(corr(ra, rc), 6) AS rho_ac, round(corr(rb, rc), 6) AS rho_bc FROM k""",
-    "auroc": f"""WITH m AS MATERIALIZED (SELECT conf, tp, rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS r FROM {sql_matched()}), s AS (SELECT sum(tp) AS p, count(*) - sum(tp) AS n, sum(r) FILTER (tp = 1) AS t FROM m),
+    "auroc": f"""WITH m AS MATERIALIZED (SELECT conf, tp, rank() OVER (ORDER BY conf) + (count(*) OVER (PARTITION BY conf) - 1) / 2 AS r FROM {sql_masked()}), s AS (SELECT sum(tp) AS p, count(*) - sum(tp) AS n, sum(r) FILTER (tp = 1) AS t FROM m),
         c AS (SELECT conf, sum(tp) AS p, count(*) AS n FROM m GROUP BY conf), d AS (SELECT p, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM c WINDOW w AS (ORDER BY conf DESC ROWS UNBOUNDED PRECEDING))
         SELECT (SELECT round((t - p * (p + 1) / 2) / (p * n), 6) FROM s) AS auroc, round(sum(p / (SELECT p FROM s) * cp / cn), 6) AS average_precision FROM d""",
     "histogram_nll": f"""WITH r AS MATERIALIZED (SELECT image, idx, cls, floor(w * 10) AS b1, floor(h * 10) AS b2 FROM {SQL_GT}),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.functions import geometry as g
 from spanforge.functions import normalize as nz
 from spanforge.functions.geometry import col
-from spanforge.plans.boxes import _matched, _sql_pairs, pairs, sql_matched
+from spanforge.plans.boxes import _masked, _sql_pairs, pairs, sql_masked
 from spanforge.sources.fixtures import SQL_GT, gt_boxes, pred_boxes, sql_pred
 from spanforge.sources.tables import table
 
@@ -45,7 +45,7 @@ def f1_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = gt_boxes(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("npos"))
     out = totals
     for k in (0, 1):
-        m = _matched(spark, sf_dir, model=k).where("conf >= 0.25").groupBy("cls").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
+        m = _masked(spark, sf_dir, model=k).where("conf >= 0.25").groupBy("cls").agg(F.sum("tp").alias("t"), F.count("*").alias("n"))
         p, r = F.col("t") / F.col("n"), F.col("t") / F.col("npos")
         out = out.join(m, "cls", "left").withColumn(f"f{k}", 2 * p * r / (p + r + 1e-8)).drop("t", "n")
     delta = F.coalesce(F.format_string("%+.3f", F.col("f1") - F.col("f0")), F.lit("N/A"))
@@ -77,7 +77,7 @@ def verdict_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per class the cut of the confidence with the most recall among those with enough precision; ties by precision, then the lower cut."""
     totals = gt_boxes(spark, sf_dir).groupBy("cls").agg(F.count("*").alias("npos"))
-    rows = _matched(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(c) for c in CUTS])).alias("cut")).where("conf >= cut")
+    rows = _masked(spark, sf_dir).select("*", F.explode(F.array(*[F.lit(c) for c in CUTS])).alias("cut")).where("conf >= cut")
     grid = rows.groupBy("cls", "cut").agg(F.sum("tp").alias("t"), F.count("*").alias("n")).join(totals, "cls").withColumn("p", F.col("t") / F.col("n")).withColumn("r", F.col("t") / F.col("npos"))
     best = grid.where("p >= 0.5").groupBy("cls").agg(F.max(F.struct("r", "p", (-F.col("cut")).alias("c"))).alias("b"))
     return best.select("cls", (-F.col("b.c")).alias("cut"), F.round("b.p", 6).alias("precision"), F.round("b.r", 6).alias("recall"))
@@ -117,7 +117,7 @@ def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of hits among the first 50 and 200 predictions of two models."""
     out = None
     for k in (0, 1):
-        part = _matched(spark, sf_dir, model=k).orderBy(F.desc("conf"), "image", "idx").limit(200).withColumn("model", F.lit(k))
+        part = _masked(spark, sf_dir, model=k).orderBy(F.desc("conf"), "image", "idx").limit(200).withColumn("model", F.lit(k))
         out = part if out is None else out.unionByName(part)
     place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("conf"), "image", "idx"))  # 200 rows each
     ranked = out.withColumn("k", place)
@@ -155,11 +155,11 @@ _P0 = sql_pred(0)
 
 
 def _sql_f1(model: int) -> str:
-    return f"(SELECT cls, 2 * p * r / (p + r + 1e-8) AS f FROM (SELECT cls, sum(tp) / count(*) AS p, sum(tp) / any_value(npos) AS r FROM {sql_matched(0.5, model)} JOIN (SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls) USING (cls) WHERE conf >= 0.25 GROUP BY cls))"
+    return f"(SELECT cls, 2 * p * r / (p + r + 1e-8) AS f FROM (SELECT cls, sum(tp) / count(*) AS p, sum(tp) / any_value(npos) AS r FROM {sql_masked(0.5, model)} JOIN (SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls) USING (cls) WHERE conf >= 0.25 GROUP BY cls))"
 
 
 def _sql_top(model: int) -> str:
-    return f"(SELECT {model} AS model, tp, row_number() OVER (ORDER BY conf DESC, image, idx) AS k FROM {sql_matched(0.5, model)})"
+    return f"(SELECT {model} AS model, tp, row_number() OVER (ORDER BY conf DESC, image, idx) AS k FROM {sql_masked(0.5, model)})"
 
 
 SQL = {
@@ -172,7 +172,7 @@ SQL = {
     "shrink_only": f"""SELECT image, g_idx, p_idx, round({g.iou('g_', 'p_')}, 9) AS iou FROM {_sql_pairs(SQL_GT, sql_pred(1), 'g_', 'p_')} WHERE g_cls = p_cls AND round({g.iou('g_', 'p_')}, 9) >= 0.5 AND round({g.iou('g_', 'p_')}, 9) < 0.85
         AND {_A['x1']} >= {_B['x1']} - 0.02 * g_w AND {_A['y1']} >= {_B['y1']} - 0.02 * g_h AND {_A['x2']} <= {_B['x2']} + 0.02 * g_w AND {_A['y2']} <= {_B['y2']} + 0.02 * g_h""",
     "verdict_exclusion": f"SELECT digest, count(*) AS n_pairs FROM (SELECT {nz.sql_digest('test_sha256')} AS digest, coalesce(upper(trim(decision)), '') AS d FROM test_review) WHERE digest IS NOT NULL GROUP BY digest HAVING count(*) FILTER (d <> 'KEEP') = 0",
-    "threshold_grid": f"""WITH q AS (SELECT cls, cut, sum(tp) / count(*) AS p, sum(tp) / any_value(npos) AS r FROM {sql_matched()} JOIN (SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls) USING (cls), (SELECT CAST(unnest([{', '.join(map(str, CUTS))}]) AS DOUBLE) AS cut) WHERE conf >= cut GROUP BY cls, cut)
+    "threshold_grid": f"""WITH q AS (SELECT cls, cut, sum(tp) / count(*) AS p, sum(tp) / any_value(npos) AS r FROM {sql_masked()} JOIN (SELECT cls, count(*) AS npos FROM {SQL_GT} GROUP BY cls) USING (cls), (SELECT CAST(unnest([{', '.join(map(str, CUTS))}]) AS DOUBLE) AS cut) WHERE conf >= cut GROUP BY cls, cut)
         SELECT cls, cut, round(p, 6) AS precision, round(r, 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY r DESC, p DESC, cut) AS k FROM q WHERE p >= 0.5) WHERE k = 1""",
     "small_object_recall": f"""WITH s AS (SELECT image, cls FROM {SQL_GT} GROUP BY image, cls HAVING max({g.area()}) < 0.1), h AS (SELECT DISTINCT image, cls FROM {_P0} WHERE conf >= 0.25)
         SELECT s.cls, count(*) AS n_images, round(avg(CASE WHEN h.image IS NULL THEN 0 ELSE 1 END), 6) AS recall FROM s LEFT JOIN h ON h.image = s.image AND h.cls = s.cls GROUP BY s.cls""",
