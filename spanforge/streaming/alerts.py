@@ -56,31 +56,26 @@ def cooldown_batch(rows: DataFrame, cooldown: float) -> DataFrame:
 
 
 def cooldown_stream(rows: DataFrame, cooldown: float, delay: str = "10 minutes") -> DataFrame:
-    """The same on a stream. Candidates wait until the watermark (``delay`` behind the latest time) has passed them, so late ones
-    take their place in time; later ones are dropped. The state of a key is its last alert and what waits; it goes once
-    the watermark is a cooldown past the last alert."""
+    """The same on a stream, with alerts at once: the time of the last alert of each key is kept as state, over restarts too, and goes
+    once the watermark (``delay`` behind the latest time) is a cooldown past it. Rows later than that are dropped; a row that comes
+    late, after a later alert of its key has gone out, gives no alert, where the batch form would have put it first."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ids, times, confidences = state.get if state.exists else (None, [], [], [])
-        waiting = list(zip(times, [-c for c in confidences], ids, strict=True))
-        for frame in frames:
-            waiting += list(zip(frame["ts"].astype("datetime64[us]").astype("int64"), -frame["confidence"], frame["event_id"], strict=True))
-        waiting.sort()
-        mark = state.getCurrentWatermarkMs() * 1000
-        ready = [w for w in waiting if w[0] <= mark]
-        waiting = waiting[len(ready) :]
-        keep, last = emitted(np.array([w[0] for w in ready]) / 1e6, cooldown, last)
-        if waiting or (last is not None and last * 1e6 + cooldown * 1e6 > mark):
-            state.update((last, [int(w[2]) for w in waiting], [int(w[0]) for w in waiting], [float(-w[1]) for w in waiting]))
-            ends = min([w[0] for w in waiting] + ([(last + cooldown) * 1e6] if not waiting else []))
-            state.setTimeoutTimestamp(int(max(ends, mark) // 1000 + 1))
-        elif state.exists:
+        if state.hasTimedOut:
             state.remove()
-        out = [(key[0], int(w[2]), pd.Timestamp(int(w[0]), unit="us"), float(-w[1])) for w, k in zip(ready, keep, strict=True) if k]
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "confidence"]).astype({"ts": "datetime64[us]"})
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames), ignore_index=True)
+        if not len(rows):
+            return
+        rows = rows.sort_values(["ts", "confidence", "event_id"], ascending=[True, False, True], ignore_index=True)
+        keep, last = emitted(rows["ts"].astype("int64").to_numpy() / 1e9, cooldown, last)
+        state.update((last,))
+        state.setTimeoutTimestamp(int(max((last + cooldown) * 1000, state.getCurrentWatermarkMs())) + 1)
+        yield rows[keep][["key", "event_id", "ts", "confidence"]]
 
     watched = rows.withWatermark("ts", delay)
-    return watched.groupBy("key").applyInPandasWithState(step, ALERT, "last double, ids array<bigint>, times array<bigint>, confidences array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return watched.groupBy("key").applyInPandasWithState(step, ALERT, "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def outbox_writer(path: str):
@@ -94,7 +89,7 @@ def outbox_writer(path: str):
         fresh = batch.dropDuplicates(["key", "event_id"]).withColumn("sent", F.lit(False)).withColumn("day", F.date_format("ts", "yyyyMMdd").cast("int"))
         days = [r["day"] for r in fresh.select("day").distinct().collect()]  # as many as a batch spans
         if days and exists(spark, path):
-            known = spark.read.parquet(path).where(F.col("day").isin(days)).select("key", "event_id")
+            known = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").isin(days)).select("key", "event_id")
             fresh = fresh.join(known, ["key", "event_id"], "left_anti")
         fresh.write.mode("append").partitionBy("day").parquet(path)
 

@@ -111,3 +111,14 @@ def test_fold_crosses_batches(spark):
         assert m.fold(df.limit(0), "k", ["i"], lambda g: [(1, True)], "k long, n long, sorted boolean").collect() == []
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fold_keeps_null_and_large_keys(spark):
+    big = 2**53 + 1
+    rows = [(None, 1, 1.0), (big, 2, None), (None, 3, 2.0), (big - 1, 4, 4.0), (0, 5, 5.0), (big, 6, 6.0)]
+    df = spark.createDataFrame(rows, "k long, i int, v double")
+    out = m.fold(df, "k", ["i"], lambda r: [(len(r["i"]), int(r["i"].sum()))], "k bigint, n int, s int")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, 2, 4), (big, 2, 8), (big - 1, 1, 4), (0, 1, 5)], key=str)
+    named = spark.createDataFrame([(None, 1), ("", 2), ("a", 3), (None, 4)], "k string, i int")
+    assert sorted(map(tuple, m.fold(named, "k", ["i"], lambda r: [(len(r["i"]),)], "k string, n int").collect()), key=str) == [("", 1), ("a", 1), (None, 2)]
+    assert m.fold(df.limit(0), "k", ["i"], lambda r: [(1, 1)], "k bigint, n int, s int").collect() == []
