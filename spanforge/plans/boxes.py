@@ -300,7 +300,7 @@ def sql_matched(threshold: float = 0.5, model: int = 0) -> str:
 
 
 def sql_masked(threshold: float = 0.5, model: int = 0, steps: tuple[float, ...] = ()) -> str:
-    """Matching with masking, prediction by prediction: the state of an image, class and threshold is the list of used labels. Columns thr, image, idx, cls, conf, tp."""
+    """Matching with masking, prediction by prediction: the state of an image, class and threshold is the list of used labels. Columns thr, image, idx, cls, conf, hit (the label), tp."""
     ts = steps or (threshold,)
     return f"""(WITH RECURSIVE pp AS MATERIALIZED (SELECT image, idx, cls, conf, row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, idx) AS k FROM {sql_pred(model)}),
       nn AS MATERIALIZED (SELECT image, p_idx, list(struct_pack(g := g_idx, s := iou) ORDER BY iou DESC, g_idx) AS near
@@ -311,7 +311,7 @@ def sql_masked(threshold: float = 0.5, model: int = 0, steps: tuple[float, ...]
         UNION ALL
         SELECT thr, image, cls, k, idx, conf, CASE WHEN h IS NULL THEN used ELSE list_append(used, h) END, h
         FROM (SELECT w.thr, w.image, w.cls, c.k, c.idx, c.conf, w.used, list_filter(c.near, lambda x: x.s >= w.thr AND NOT list_contains(w.used, x.g))[1].g AS h FROM ww w JOIN cc c ON c.image = w.image AND c.cls = w.cls AND c.k = w.k + 1))
-      SELECT thr, image, idx, cls, conf, CASE WHEN hit IS NULL THEN 0 ELSE 1 END AS tp FROM ww WHERE k > 0)"""
+      SELECT thr, image, idx, cls, conf, hit, CASE WHEN hit IS NULL THEN 0 ELSE 1 END AS tp FROM ww WHERE k > 0)"""
 
 
 _FLIPPED = " UNION ALL ".join(f"SELECT image, idx, cls, {x} AS cx, {y} AS cy, w, h, {i} AS n, '{k}' AS transform FROM gt" for i, (k, (x, y)) in enumerate(g.FLIPS.items()))

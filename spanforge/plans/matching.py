@@ -8,8 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanforge.functions import geometry as g
 from spanforge.operators import matching as m
-from spanforge.sources.fixtures import gt_boxes, pred_boxes
+from spanforge.plans.boxes import _sql_pairs, sql_masked
+from spanforge.sources.fixtures import SQL_GT, gt_boxes, pred_boxes, sql_pred
 
 _BOX = ("cx", "cy", "w", "h")
 
@@ -204,4 +206,49 @@ QUERIES = {
         residual_errors, decomposition, hard_cases, suppressed, fused, additions, cross_merge, fragments, detector_fusion, copies_dropped, reconciled,
     )
 }
-SQL: dict[str, str] = {}
+
+
+def _sql_taken(hits: str, rule: str) -> str:
+    """Hits (image, idx, hit) with the overlap of the pair."""
+    both = _sql_pairs(SQL_GT, sql_pred(0), "g_", "p_")
+    return f"SELECT b.image, 'match' AS kind, b.g_idx, b.p_idx, round({g.iou('g_', 'p_', rule)}, 6) AS iou FROM (SELECT * FROM {both}) b JOIN {hits} h ON h.image = b.image AND h.idx = b.p_idx AND h.hit = b.g_idx"
+
+
+def _sql_kept(items: str, over: str) -> str:
+    """Items (image, cls, k, idx, conf) in the order k, each dropped if it lies on one that stays (``over``: image, idx, other); the state is the list of those that stay."""
+    return f"""(WITH RECURSIVE it AS MATERIALIZED ({items}), ov AS MATERIALIZED (SELECT image, idx, list(other) AS others FROM ({over}) GROUP BY image, idx),
+      cc AS MATERIALIZED (SELECT it.*, coalesce(others, []) AS others FROM it LEFT JOIN ov USING (image, idx)),
+      ww(image, cls, k, idx, conf, kept, stays) AS (
+        SELECT DISTINCT image, cls, CAST(0 AS BIGINT), CAST(-1 AS INTEGER), CAST(0 AS DOUBLE), CAST([] AS INTEGER[]), false FROM it
+        UNION ALL
+        SELECT w.image, w.cls, c.k, c.idx, c.conf, CASE WHEN list_has_any(w.kept, c.others) THEN w.kept ELSE list_append(w.kept, c.idx) END, NOT list_has_any(w.kept, c.others)
+        FROM ww w JOIN cc c ON c.image = w.image AND c.cls = w.cls AND c.k = w.k + 1)
+      SELECT * FROM ww WHERE k > 0)"""
+
+
+_SURE = f"(SELECT * FROM {sql_pred(0)} WHERE conf >= 0.25)"
+# Sure predictions choose first; of equal overlaps the label with the larger number.
+_BY_CONFIDENCE = f"""(WITH RECURSIVE pp AS MATERIALIZED (SELECT image, idx, cls, row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, idx) AS k FROM {_SURE}),
+  nn AS MATERIALIZED (SELECT image, p_idx, list(g_idx ORDER BY iou DESC, g_idx DESC) AS near FROM (SELECT *, {g.iou('g_', 'p_')} AS iou FROM {_sql_pairs(SQL_GT, _SURE, 'g_', 'p_')} WHERE g_cls = p_cls) WHERE iou >= 0.5 GROUP BY image, p_idx),
+  cc AS MATERIALIZED (SELECT pp.*, coalesce(near, []) AS near FROM pp LEFT JOIN nn ON nn.image = pp.image AND nn.p_idx = pp.idx),
+  ww(image, cls, k, idx, used, hit) AS (
+    SELECT DISTINCT image, cls, CAST(0 AS BIGINT), CAST(-1 AS INTEGER), CAST([] AS INTEGER[]), CAST(NULL AS INTEGER) FROM pp
+    UNION ALL
+    SELECT image, cls, k, idx, CASE WHEN h IS NULL THEN used ELSE list_append(used, h) END, h
+    FROM (SELECT w.image, w.cls, c.k, c.idx, w.used, list_filter(c.near, lambda x: NOT list_contains(w.used, x))[1] AS h FROM ww w JOIN cc c ON c.image = w.image AND c.cls = w.cls AND c.k = w.k + 1))
+  SELECT image, idx, hit FROM ww WHERE hit IS NOT NULL)"""
+_NMS = _sql_kept(
+    f"SELECT image, cls, row_number() OVER (PARTITION BY image, cls ORDER BY conf DESC, idx) AS k, idx, conf FROM {sql_pred(0)}",
+    f"SELECT image, a_idx AS idx, b_idx AS other FROM {_sql_pairs(sql_pred(0), sql_pred(0), 'a_', 'b_')} WHERE a_cls = b_cls AND a_idx <> b_idx AND {g.iou('a_', 'b_', 'clip9')} > 0.5",
+)
+_COPIES = _sql_kept(
+    f"SELECT image, cls, row_number() OVER (PARTITION BY image, cls ORDER BY idx) AS k, idx, 1.0 AS conf FROM {SQL_GT}",
+    f"SELECT image, a_idx AS idx, b_idx AS other FROM {_sql_pairs(SQL_GT, SQL_GT, 'a_', 'b_', right_cols='idx cls cx cy w h')} WHERE a_cls = b_cls AND b_idx < a_idx AND {g.iou('a_', 'b_', 'clip9')} >= 0.5",
+)
+
+SQL: dict[str, str] = {
+    "match_masked": _sql_taken(f"(SELECT * FROM {sql_masked()} WHERE hit IS NOT NULL)", "clip9"),
+    "match_by_confidence": _sql_taken(_BY_CONFIDENCE, "plain"),
+    "suppressed": f"SELECT image, idx, cls, conf FROM {_NMS} WHERE stays",
+    "copies_dropped": f"SELECT image, 'dropped' AS kind, idx AS g_idx, CAST(NULL AS INTEGER) AS p_idx, CAST(0 AS DOUBLE) AS iou FROM {_COPIES} WHERE NOT stays",
+}
