@@ -68,8 +68,13 @@ class Shingling:
 
 
 def ladder(distance: int) -> list[Shingling]:
-    """From few, common shingles to many, rare ones."""
-    return [Shingling(distance + 3, 2, distance), Shingling(distance + 4, 3, distance), Shingling(distance + 5, 4, distance)]
+    """From few, common shingles to many, rare ones.
+
+    With ``distance + width`` blocks one shared shingle is certain, so the prefix is the whole set. A block
+    more would let the prefix leave out a few, but of more and shorter shingles: 19 of 21 with 18 bits
+    instead of 15 with 21, 53 of 56 with 24 bits instead of 35 with 27.
+    """
+    return [Shingling(distance + width, width, distance) for width in (2, 3, 4)]
 
 
 def _block_counts(hashes: DataFrame, shingling: Shingling) -> dict[tuple[int, int], int]:
@@ -91,7 +96,8 @@ class PrefixIndex:
     def __init__(self, shingling: Shingling, counts: dict[tuple[int, int], int]):
         self.shingling = shingling
         self.ranks = []
-        for i, (_, bits) in enumerate(shingling.bounds):
+        # a prefix that leaves nothing out needs no order
+        for i, (_, bits) in enumerate(shingling.bounds if shingling.prefix < shingling.size else []):
             # 16 steps for each doubling of a value's count; one literal a table, not one a value
             steps = (str(round(16 * math.log2(1 + counts.get((i, v), 0)))) for v in range(1 << bits))
             self.ranks.append(F.split(F.lit(",".join(steps)), ",").cast("array<int>"))
@@ -99,6 +105,8 @@ class PrefixIndex:
     def rows(self, hashes: DataFrame) -> DataFrame:
         """(shingle, h) for the rarest shingles of each hash ``h``."""
         s = self.shingling
+        if s.prefix == s.size:
+            return hashes.select(F.explode(F.array(*[s.shingle(F.col("h"), number) for number in range(s.size)])).alias("shingle"), "h")
         ranked = [self._ranked(blocks, number) for number, blocks in enumerate(s.combinations)]
         order = F.slice(F.sort_array(F.array(*ranked)), 1, s.prefix)
         return hashes.select("h", F.explode(order).alias("x")).select(F.col("x").bitwiseAND(F.lit((1 << _RANK_SHIFT) - 1)).alias("shingle"), "h")
@@ -129,7 +137,9 @@ def near_probe(spark: SparkSession, probe: DataFrame, index: DataFrame, distance
     """The distinct hashes ``h`` of ``probe`` with one of ``index`` at ``distance`` bits at most.
 
     Both have a BIGINT column ``h``; nulls match nothing; repeated hashes count once. The
-    rarest shingles of the probe are joined with those of the index. Lengths filter first
+    rarest shingles of the probe are joined with those of the index, always by a sort-merge
+    join: the planner takes their rows for as large as the hashes before they are multiplied,
+    and would send them all through the driver as a broadcast. Lengths filter first
     (numbers of one-bits that differ by more than ``distance`` can't match), and as all
     hashes have as many shingles, the cut of the prefix already is the position filter. The
     distance of every pair that is left is then verified.
@@ -138,7 +148,7 @@ def near_probe(spark: SparkSession, probe: DataFrame, index: DataFrame, distance
     probe = scratch.write(probe.where("h is not null").select("h").distinct(), "probe")
     index = scratch.write(index.where("h is not null").select("h").distinct(), "index")
     prefixes = choose(probe, index, distance)
-    p, t = prefixes.rows(probe).alias("p"), prefixes.rows(index).alias("t")
+    p, t = prefixes.rows(probe).alias("p"), prefixes.rows(index).alias("t").hint("merge")
     length = F.abs(F.bit_count(F.col("p.h")) - F.bit_count(F.col("t.h"))) <= distance
     verified = F.bit_count(F.col("p.h").bitwiseXOR(F.col("t.h"))) <= distance
     return p.join(t, (F.col("p.shingle") == F.col("t.shingle")) & length & verified, "left_semi").select("h").distinct()

@@ -34,6 +34,14 @@ def test_shingles(spark):
     assert rows.count() == s.prefix and rows.select("shingle").distinct().count() == s.prefix
 
 
+def test_shingles_are_few_and_never_broadcast(spark):
+    """The rows of the shingles are many times the hashes that the planner knows of."""
+    assert [s.prefix for s in ladder(4)] == [15, 35, 70] and all(s.least_shared >= 1 for s in ladder(4))
+    frames = [spark.createDataFrame([(v,) for v in vs], "h long") for vs in ([7, 1 << 40], [6, 99])]
+    plan = near_probe(spark, *frames)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_kinds(spark):
     rows = [
         (1, "train", "images/train/ds/c/a.jpg", D[0], "00000000000000f0"), (2, " TRAIN", "images/train/ds/c/b.jpg", None, "f000000000000000"), (3, None, "images\\train\\ds\\c\\c.jpg", D[2], None),
