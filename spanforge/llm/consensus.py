@@ -133,11 +133,23 @@ def _winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         places = []
         for values, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            # Without weights they halve along the order: a record outweighs all those after it together.
+            # Without weights they halve along the order: a record outweighs all those after it together, as in most_trusted.
             places.append(closest_to_consensus(values, weights or [1 << i for i in reversed(range(len(values)))]) + 1)
         yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(places, pa.int32())], [*batch.schema.names[2:], "place"])
 
 
+def most_trusted(values: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
+    """(keys, value, order) of the value of each group whose record has the greatest ``order`` (a struct; nulls are least).
+
+    Records that the order leaves equal give the greatest of their values. Null values are no candidates (a group of
+    nulls gives no row), nulls in ``keys`` form groups of their own, other columns aren't read, an empty table gives an
+    empty result. This is what votes that halve along the order come to, so nothing is aligned or counted.
+    """
+    known = values.where(F.col(value).isNotNull())
+    best = known.groupBy(*keys).agg(F.max(F.struct(F.struct(*[F.col(c) for c in order]).alias("o"), F.col(value).alias("v"))).alias("_best"))
+    return best.select(*keys, F.col("_best.v").alias(value), *[F.col("_best.o")[c].alias(c) for c in order])
+
+
 def consensus_survivors(spark: SparkSession, values: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: int = 64, weight: str | None = None) -> DataFrame:
     """(keys, value, order) of the surviving value of each group.
 
@@ -146,17 +158,19 @@ def consensus_survivors(spark: SparkSession, values: DataFrame, keys: Sequence[s
     a group count as one, with their most trusted record.
 
     ``weight`` names a column of whole numbers; equal values add theirs up (null or less than 1 counts as 1), and the votes decide. Without
-    it the weights halve along the order, so a record outweighs all after it together: strict trust.
+    it the order alone decides, without a vote: ``most_trusted``.
 
     Groups of more than ``chunk`` different values are split by a hash, and the survivors of the
-    parts meet again, with the weight of their whole part, in as many levels as it takes, so no task ever holds a large group. With halving
-    weights the result is that of the whole group at once; with others it is that of this tournament. Null values are no
+    parts meet again, with the weight of their whole part, in as many levels as it takes, so no task ever holds a large group. The
+    result is that of this tournament. Null values are no
     candidates (a group of nulls gives no row), nulls in ``keys`` form groups of their own,
     other columns aren't read, an empty table gives an empty result.
     """
+    if weight is None:
+        return most_trusted(values, keys, value, order)
     scratch = Scratch(spark, "consensus")
     order_struct = F.struct(*[F.col(c) for c in order]).alias("_o")
-    votes = F.lit(None).cast("bigint") if weight is None else F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(1)), F.lit(1))
+    votes = F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(1)), F.lit(1))
     now = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), order_struct, votes.alias("_w"))
     now = scratch.write(now.groupBy(*keys, "_v").agg(F.max("_o").alias("_o"), F.sum("_w").alias("_w")), "candidates")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
@@ -174,8 +188,7 @@ def consensus_survivors(spark: SparkSession, values: DataFrame, keys: Sequence[s
             grouped = now.alias("l").join(sizes.alias("r"), on).select("l.*", part.alias("_part"))
         lists = grouped.groupBy(*keys, "_part").agg(F.sort_array(F.collect_list(F.struct("_o", "_v", "_w")), asc=False).alias("_all"), F.sum("_w").alias("_w"))
         alone = lists.where("size(_all) = 1").select(*keys, F.col("_all")[0]["_v"].alias("_v"), F.col("_all")[0]["_o"].alias("_o"), "_w")
-        weights = F.lit(None).cast("array<bigint>") if weight is None else F.col("_all._w")
-        contested = lists.where("size(_all) > 1").select(F.col("_all._v").alias("_values"), weights.alias("_weights"), *keys, "_all", "_w")
+        contested = lists.where("size(_all) > 1").select(F.col("_all._v").alias("_values"), F.col("_all._w").alias("_weights"), *keys, "_all", "_w")
         fields = [f for f in contested.schema.fields if f.name not in ("_values", "_weights")]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", place int"
         voted = contested.mapInArrow(_winners, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import normalize as nz
 from spanforge.llm.components import connected_components
-from spanforge.llm.consensus import consensus_survivors
+from spanforge.llm.consensus import consensus_survivors, most_trusted
 from spanforge.llm.linkage import link_batches
 from spanforge.llm.mixing import Mixer, mix_report
 from spanforge.llm.overlap import cross_split
@@ -152,14 +152,14 @@ P6_FIELDS = ("image", "camera", "site", "captured_at")
 
 
 def _shared_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of digests that several have, with the trust in each: greatest is first."""
+    """The rows of digests that several records have, repeated ones too, with the trust in each: greatest is first."""
     images = table(spark, sf_dir, "image_sha256")
     rows = images.select(
         nz.plain_digest(F.col("sha256")).alias("sha256"), "manifest_index", F.nullif(F.trim("image"), F.lit("")).alias("image"), nz.known_text(F.col("camera")).alias("camera"),
         nz.known_text(F.col("site")).alias("site"), F.col("captured_at").cast("string").alias("captured_at"), "updated_at",
     ).where("sha256 is not null")
     several = rows.groupBy("sha256").agg((F.min("manifest_index") < F.max("manifest_index")).alias("several")).where("several").select("sha256")
-    rows = rows.join(several, "sha256").distinct()
+    rows = rows.join(several, "sha256")
     audit = table(spark, sf_dir, "audit_records").groupBy("rid").agg(F.max_by("source", F.struct("recorded_at", "source")).alias("source"))
     dataset = nz.plain_name(F.split_part(nz.plain_campaign(F.col("source")), F.lit("/"), F.lit(1)))
     audit = audit.select(F.col("rid").alias("manifest_index"), dataset.alias("dataset"))
@@ -172,7 +172,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each shared digest and field, the record whose value survives."""
     rows = _shared_records(spark, sf_dir)
     long = rows.unpivot(["sha256", "trust", "updated_at", "early"], list(P6_FIELDS), "field_name", "value")
-    kept = consensus_survivors(spark, long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
+    kept = most_trusted(long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
     return kept.select("sha256", "field_name", (-F.col("early")).alias("manifest_index"))
 
 
@@ -180,14 +180,14 @@ def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record that is built for each shared digest."""
     rows = _shared_records(spark, sf_dir)
     long = rows.unpivot(["sha256", "trust", "updated_at", "early"], list(P6_FIELDS), "field_name", "value")
-    kept = consensus_survivors(spark, long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
+    kept = most_trusted(long, ["sha256", "field_name"], "value", ["trust", "updated_at", "early"])
     return kept.groupBy("sha256").pivot("field_name", list(P6_FIELDS)).agg(F.max("value"))
 
 
 def p6_consensus(spark: SparkSession, sf_dir: str, half_life_days: float = 180.0) -> DataFrame:
     """The record built for each shared digest by weighted votes: trust (1 / (1 + rank)), recency (half after ``half_life_days``) and completeness
     (known fields of the four) of all its records count, so several agreeing records outvote the most trusted one."""
-    rows = _shared_records(spark, sf_dir)
+    rows = _shared_records(spark, sf_dir).distinct()  # a row sent twice votes once
     latest = rows.agg(F.max("updated_at").alias("latest"))
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     age = F.coalesce((micros("latest") - micros("updated_at")) / F.lit(86400e6), F.lit(4 * half_life_days))

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from spanforge.llm import consensus
+from spanforge.llm import queries
 from spanforge.llm.consensus import closest_to_consensus, consensus_survivors
 
 SCHEMA = "g string, v string, trust int, at int, id long, _n int, place int"
@@ -71,6 +72,22 @@ def test_survivors(spark, chunk):
     assert consensus_survivors(spark, df.limit(0), ["g"], "v", ["trust", "at", "id"]).collect() == []
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strict_trust_takes_no_votes(spark, sf_dir):
+    """No alignment where the order alone decides, and the rows are those that votes halving along it give."""
+    random.seed(5)
+    groups = {g: [" ".join(random.choices("abc1", k=4)) + f" x{i}" for i in range(n)] for g, n in (("one", 1), ("few", 5), ("many", 90))}
+    rows = [(g, v, 1, -i, i, 0, 0) for g, vs in groups.items() for i, v in enumerate(vs)] * 2
+    got = consensus_survivors(spark, spark.createDataFrame(rows, SCHEMA), ["g"], "v", ["trust", "at", "id"])
+    assert sorted((r["g"], r["v"]) for r in got.collect()) == sorted((g, vs[pick(vs, [1 << i for i in reversed(range(len(vs)))])]) for g, vs in groups.items())
+    assert "MapInArrow" not in plan(got)
+    assert "MapInArrow" not in plan(queries.p6_found(spark, sf_dir)) and "MapInArrow" not in plan(queries.p6_survivors(spark, sf_dir))
+    assert "MapInArrow" in plan(queries.p6_consensus(spark, sf_dir))
+
+
 def test_weights_of_large_parts_are_exact():
     # all but the most trusted value share a token in a column that it lacks
     values = ["a"] + [f"a b{chr(97 + i // 26)}{chr(97 + i % 26)} x" for i in range(119)]
